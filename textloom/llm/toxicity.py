@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import fold
+from textloom.llm._common import cut, fold
 from textloom.llm.labels import training_rows
 
 OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
@@ -193,12 +194,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, pull:
     if not len(y) or y.min() == y.max():
         return w
     x = np.hstack([x, np.ones((len(x), 1))])
-    for _ in range(30):
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + pull / 2 * ((v - prior) ** 2).sum())
+
+    now = loss(w)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + pull * (w - prior)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
-        w -= step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), slope)
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-9:  # a full step can overshoot
+            step /= 2
+        w, now = w - step, min(now, then)
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -232,16 +239,41 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 MIN_SUPPORT, MIN_ODDS, MIN_FORMS, MAX_WEIGHT = 3, 3.0, 3, 6.0
+MAX_CHANCE = 0.01
+
+
+def one_of_each_copy(rows: DataFrame) -> DataFrame:
+    """rows without its copies, so that a text copied often doesn't make its words look toxic.
+
+    Near copies are told by their least shingle hash, which two texts share as often as their shingles coincide; rows
+    are bounded by the sample, and so are the ids that are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for text in batch.column(1).to_pylist():
+                words = text.lower().split()
+                keys.append(min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))), default=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(2)], names=["doc_id", "least", "y"])
+
+    keyed = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, least long, y int")
+    kept = keyed.groupBy("least", F.col("y") > 0).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return rows.join(F.broadcast(kept), "doc_id")
 
 
 def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
     """Insult words and stems: seen in MIN_SUPPORT toxic documents, with log odds of MIN_ODDS at least.
 
-    A stem needs MIN_FORMS different words besides. The shortest stems that qualify are kept.
+    Of all that are learned, MAX_CHANCE is expected to be so by chance. A stem needs MIN_FORMS different words besides. The shortest stems that qualify are kept.
     """
     counts = _word_counts(rows).persist()
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
-    words = counts.withColumn("odds", odds).filter((F.col("pos") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS))
+    # Chernoff's bound of the chance that a word without any bearing falls so on toxic documents, against all words tried.
+    total, share, rate = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg")), n_pos / (n_pos + n_neg)
+    excess = total * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
+    sure = excess >= math.log(max(1, counts.count()) / MAX_CHANCE)
+    words = counts.withColumn("odds", odds).filter((F.col("pos") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS)).filter(sure)
     stems = (
         counts.select(F.explode(F.transform(F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)), lambda n: F.when(F.length("word") >= n, F.substring(F.col("word"), F.lit(1), n)))).alias("stem"), "pos", "neg")
         .filter("stem IS NOT NULL")
@@ -249,6 +281,7 @@ def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("forms"))
         .withColumn("odds", odds)
         .filter((F.col("pos") >= 2 * MIN_SUPPORT) & (F.col("forms") >= MIN_FORMS) & (F.col("odds") >= MIN_ODDS + 0.5))
+        .filter(sure)
     )
     # Both are bounded by the labelled sample: a piece needs MIN_SUPPORT of its toxic documents.
     lexicon = Lexicon({r["word"]: min(MAX_WEIGHT, r["odds"]) for r in words.collect()})
@@ -261,7 +294,7 @@ def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_parts: int = 5, held_fold: int = 0, max_rows: int = 50_000) -> Model:
     """Learn the lexicon and the outcome weights from at most max_rows labelled rows outside the held-out fold."""
-    rows = training_rows(docs, labels, "toxic", id_col, text_col, held_parts, held_fold, None, max_rows)
+    rows = cut(one_of_each_copy(cut(training_rows(docs, labels, "toxic", id_col, text_col, held_parts, held_fold, None, max_rows))))
     sizes = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     lexicon = learn_lexicon(rows, n_pos, n_neg) if n_pos and n_neg else Lexicon()

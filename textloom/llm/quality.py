@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import fold
+from textloom.llm._common import fold, keep_rows
 from textloom.llm.labels import training_rows
 
 HASHED = 1024
@@ -184,3 +184,21 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit on the labels outside the held-out fold, then score every document."""
     return score(docs, fit(docs, labels, **options), **{k: v for k, v in options.items() if k != "max_rows"})
+
+
+def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score threshold or more, with all columns; nulls and empty texts are scored as in score()."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def keep():
+        slots = _Slots()
+
+        def judge(texts: list[str | None]) -> list[bool]:
+            out: list[bool] = []
+            for i in range(0, len(texts), 512):
+                out += (shared.value.probability(np.array([vector(t, slots) for t in texts[i : i + 512]])) >= threshold).tolist()
+            return out
+
+        return judge
+
+    return keep_rows(docs, text_col, keep)

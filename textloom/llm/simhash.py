@@ -171,9 +171,11 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """docs without its near-duplicates: of each component the document with the smallest id stays, all columns kept.
 
-    Rows that repeat an id are repeats of a document; all rows of the id that stays are kept but exact repeats of the
-    whole row, of which one stays. Rows with a null id belong to no component and stay.
+    Of rows that repeat the id that stays, one stays. Rows with a null id are not compared and stay.
     """
-    found = simhash_near_duplicates(docs, id_col, text_col, shingle, max_distance)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    found = cut(simhash_near_duplicates(docs, id_col, text_col, shingle, max_distance).select("doc_id", "component_id").filter("doc_id IS NOT NULL"))
+    named = F.col(id_col).cast("long") == F.col("__id")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    repeated = found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
+    single = docs.join(gone.unionByName(repeated).distinct(), named, "left_anti")
+    return single.unionByName(docs.join(repeated.join(gone, "__id", "left_anti"), named, "left_semi").dropDuplicates([id_col]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import cut, fold
+from textloom.llm._common import cut, fold, keep_rows
 from textloom.llm.labels import training_rows
 
 OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
@@ -333,3 +333,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit on the labels outside the held-out fold, then score every document."""
     return score(docs, fit(docs, labels, **options), **{k: v for k, v in options.items() if k != "max_rows"})
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score under the threshold, with all columns; nulls and empty texts are scored as in score()."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        cache = _Cache(shared.value.lexicon)
+        return lambda texts: (shared.value.score([features(t, cache) for t in texts]) < threshold).tolist()
+
+    return keep_rows(docs, text_col, keep)

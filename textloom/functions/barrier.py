@@ -1,7 +1,8 @@
 """A projection that filters above it can't be pushed through.
 
 Catalyst pushes a predicate through projections by writing out their expressions in it. Over several stages of text
-rules that repeats them without end; a one-row generator keeps the predicate where it is.
+rules that repeats them without end; a one-row generator keeps the predicate where it is. The same goes for the
+predicate that Catalyst infers below an explode, so computed arrays are settled before they are exploded.
 """
 
 from __future__ import annotations

@@ -15,6 +15,28 @@ _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
+def _starts_a_word(rest: str) -> bool:
+    """Whether whatever rest matches begins with a word character: a letter, \\w, or a group of such alternatives."""
+    if not rest:
+        return False
+    if rest[0] != "(":
+        return rest[0].isascii() and (rest[0].isalnum() or rest[0] == "_" or rest[:2] in ("\\w", "\\d")) and rest[1:2] not in ("?", "*")
+    body = rest[3:] if rest.startswith("(?:") else rest[1:]
+    if body[:1] == "?":
+        return False
+    depth, heads, at_head = 0, [], True
+    for i, c in enumerate(body):
+        if at_head:
+            heads.append(body[i:])
+        at_head = c == "|" and depth == 0
+        if c == "\\" or c == "[":
+            return False  # not worth reading further
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return body[i + 1 : i + 2] not in ("?", "*") and all(h[0].isascii() and h[0].isalnum() for h in heads)
+    return False
+
+
 def java(pattern: str) -> str:
     """Spell out \\b, \\s and \\S of a pattern for Java."""
     out, i, in_class = [], 0, False
@@ -27,7 +49,7 @@ def java(pattern: str) -> str:
             elif e == "S" and not in_class:
                 out.append(f"[^{SPACE}]")
             elif e == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(f"(?<!{_WORD})" if _starts_a_word(pattern[i + 2 :]) else _BOUNDARY)
             else:
                 out.append(c + e)
             i += 2
@@ -49,8 +71,11 @@ def js_round(x: Column, digits: int = 0) -> Column:
     return F.floor(x * k + 0.5) / k if digits else F.floor(x + 0.5)
 
 
+_SPACES = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(x, F.lit(_SPACES))
 
 
 def count(x: Column, pattern: str) -> Column:

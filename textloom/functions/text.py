@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import regex as R
-from textloom.functions.barrier import settle
 
 WORD = "[A-Za-z][A-Za-z'’-]*"
 CLOSERS = "[\"'”’)\\]]*"
@@ -44,30 +43,25 @@ def clean_for_prose(x: Column) -> Column:
     return x
 
 
+_DOT = "\ue000"  # stands for a full stop that ends no sentence
+
+
 def sentences(x: Column) -> Column:
     """Sentences: split after terminal punctuation, closing quotes and white space; fragments under four words go."""
-    x = R.replace(x, f"(?i)\\b({ABBREVIATIONS})\\.", "$1<DOT>")
-    x = R.replace(x, "\\b([A-Z])\\.", "$1<DOT>")
-    parts = F.transform(R.split(x, f"(?<=[.!?]){CLOSERS}\\s+"), lambda s: R.trim(F.regexp_replace(s, "<DOT>", ".")))
-    return F.filter(parts, lambda s: F.when(R.matches(s, f"[.!?]{CLOSERS}$"), word_count(s) > 0).otherwise(word_count(s) >= 4))
+    # Looked for from the full stop backwards, as full stops are rare.
+    x = F.regexp_replace(x, f"(?i)\\.(?<=(?<![A-Za-z0-9_])(?:{ABBREVIATIONS})\\.)", _DOT)
+    x = F.regexp_replace(x, "\\.(?<=(?<![A-Za-z0-9_])[A-Z]\\.)", _DOT)
+    parts = F.transform(R.split(x, f"(?<=[.!?]){CLOSERS}\\s+"), lambda s: R.trim(F.translate(s, _DOT, ".")))
+    ends = lambda s: F.right(s, F.lit(1)).isin(".", "!", "?") | R.matches(s, f"[.!?]{CLOSERS}$")
+    return F.filter(parts, lambda s: F.when(ends(s), s.rlike("[A-Za-z]")).otherwise(word_count(s) >= 4))
 
 
 def paragraphs(x: Column) -> Column:
     return F.filter(F.transform(R.split(x, "\\n\\s*\\n+"), R.trim), lambda p: R.matches(p, "[A-Za-z]"))
 
 
-def syllable_count(word_list: Column) -> Column:
-    """Sum of the rough syllable counts of words, by passes over all of them at once.
-
-    A word of up to three letters has one. Of others a silent ending and a leading y go, and runs of one or two vowels
-    count, one at least.
-    """
-    letters = F.translate(F.lower(F.array_join(word_list, " ")), "'’-", "")
-    short = "(?<![a-z])[a-z]{1,3}(?![a-z])"
-    longs = F.regexp_replace(letters, short, "")
-    stems = F.regexp_replace(F.regexp_replace(longs, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?![a-z])", ""), "(?<![a-z])y", "")
-    n_short, n_long = F.regexp_count(letters, F.lit(short)), F.regexp_count(longs, F.lit("[a-z]+"))
-    return n_short + F.regexp_count(stems, F.lit("[aeiouy]{1,2}")) + n_long - F.regexp_count(stems, F.lit("[a-z]*[aeiouy][a-z]*"))
+def _silent_endings(longs: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(longs, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?![a-z])", ""), "(?<![a-z])y", "")
 
 
 def mean(lengths: Column) -> Column:
@@ -89,14 +83,24 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cols = [c for c in docs.columns if c != "m"]
     step = docs.select(*cols, clean_for_prose(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
     step = step.select("*", words(F.col("__clean")).alias("__words"), sentences(F.col("__clean")).alias("__sents"), paragraphs(F.col("__clean")).alias("__paras"))
+    # Syllables, by passes over all words at once. A word of up to three letters has one. Of others a silent ending and
+    # a leading y go, and runs of one or two vowels count, one at least.
+    step = step.select("*", F.translate(F.lower(F.array_join("__words", " ")), "'’-", "").alias("__letters"))
+    step = step.select("*", F.regexp_replace("__letters", "(?<![a-z])[a-z]{1,3}(?![a-z])", "").alias("__longs"))
+    step = step.select("*", _silent_endings(F.col("__longs")).alias("__stems"))
     n, s = F.size("__words"), F.size("__sents")
+    vowelless = F.regexp_count("__longs", F.lit("[a-z]+")) - F.regexp_count("__stems", F.lit("[a-z]*[aeiouy][a-z]*"))
+    short = n - F.regexp_count("__longs", F.lit("[a-z]+"))
+    # A lone paragraph has the sentences of the text.
+    para_lengths = F.when(F.size("__paras") == 1, F.array(s)).otherwise(F.transform("__paras", lambda p: F.size(sentences(p))))
     step = step.select(
         "*",
         n.alias("__n"),
         mean(F.transform("__sents", word_count)).alias("__sentence"),
-        mean(F.transform("__paras", lambda p: F.size(sentences(p)))).alias("__paragraph"),
-        syllable_count(F.col("__words")).alias("__syllables"),
+        mean(para_lengths).alias("__paragraph"),
+        (short + F.regexp_count("__stems", F.lit("[aeiouy]{1,2}")) + vowelless).alias("__syllables"),
     )
+    contracted = F.size(F.filter("__sents", lambda x: (x.contains("'") | x.contains("’")) & R.matches(x, CONTRACTION)))
     per100 = lambda pattern: F.when(F.col("__n") > 0, 100.0 * R.count(F.col("__clean"), pattern) / F.col("__n")).otherwise(0.0)
     grade = F.when((F.col("__n") > 0) & (s > 0), 0.39 * (F.col("__n") / s) + 11.8 * (F.col("__syllables") / F.col("__n")) - 15.59).otherwise(0.0)
     values = F.struct(
@@ -106,7 +110,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         per100(";").alias("semicolonRate"),
         per100("—|–|\\s-\\s").alias("dashRate"),
         per100("\\([^)]*\\)").alias("parentheticalRate"),
-        F.when(s > 0, 100.0 * F.size(F.filter("__sents", lambda x: R.matches(x, CONTRACTION))) / s).alias("contractionRate"),
+        F.when(s > 0, 100.0 * contracted / s).alias("contractionRate"),
         F.greatest(F.lit(0.0), grade).alias("readingLevel"),
     )
     m = F.struct(
@@ -119,4 +123,4 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("__syllables").alias("syllables"),
         values.alias("values"),
     )
-    return settle(step, cols, m=m)
+    return step.select(*cols, m.alias("m"))

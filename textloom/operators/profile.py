@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import regex as R
 from textloom.functions import text as T
+from textloom.functions.barrier import settle
 from textloom.functions.regex import js_round
 from textloom.operators.house import slug
 
@@ -81,7 +82,8 @@ def candidates() -> list[tuple[str, str, str]]:
 def absence_counts(clean: Column) -> Column:
     """array<struct<label, n>> of a cleaned text, for the candidates that occur; one test for all of them comes first."""
     rows = candidates()
-    gate = "(?i)" + "|".join(p.removeprefix("(?i)") for _, _, p in rows)
+    heads = [label.replace("-", "\\-").replace(" ", "\\s+") for label in ABSENCE_CANDIDATES] + ["surfac"]
+    gate = R.java(f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(heads)})")  # all begin a word; what follows is for the counts
     counted = F.array(*[F.struct(F.lit(label).alias("label"), F.least(F.regexp_count(clean, F.lit(p)), F.lit(ABSENCE_STOP)).alias("n")) for _, label, p in rows])
     return F.when(clean.rlike(gate), F.filter(counted, lambda x: x["n"] > 0)).otherwise(F.array().cast("array<struct<label:string,n:int>>"))
 
@@ -118,7 +120,7 @@ def openers(m: DataFrame, field: str = "openers", most: int = TOP_OPENERS) -> Da
 
     Ties keep the order of first appearance, over samples and then places.
     """
-    each = m.filter(F.col("type") == "written").select("author", "sample", F.posexplode(f"m.{field}").alias("pos", "word"))
+    each = settle(m.filter(F.col("type") == "written"), ["author", "sample"], words=F.col(f"m.{field}")).select("author", "sample", F.posexplode("words").alias("pos", "word"))
     counts = each.groupBy("author", "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("sample", "pos")).alias("first"))
     totals = counts.groupBy("author").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("distinct_words"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("cnt"), "first"))).filter(F.col("rank") <= most)
@@ -128,7 +130,7 @@ def openers(m: DataFrame, field: str = "openers", most: int = TOP_OPENERS) -> Da
 def signature_words(m: DataFrame, most: int = TOP_SIGNATURE) -> DataFrame:
     """author, word, cnt, spread, per100k, ratio, rank: words far above their baseline rate, in two samples at least."""
     spark = m.sparkSession
-    each = m.select("author", "sample", F.explode("m.word_list").alias("word"))
+    each = settle(m, ["author", "sample"], words=F.col("m.word_list")).select("author", "sample", F.explode("words").alias("word"))
     by_sample = each.groupBy("author", "sample", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = by_sample.groupBy("author", "word").agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("spread"))
     stop = F.broadcast(spark.createDataFrame([(w,) for w in STOPWORDS], "word string"))  # a fixed list
@@ -145,7 +147,7 @@ def absent_words(m: DataFrame) -> DataFrame:
     """author, word: candidates that no sample of the author has, a row each."""
     spark = m.sparkSession
     labels = F.array(*[F.lit(label) for _, label, _ in candidates()])
-    used = m.select("author", F.explode(absence_counts(F.col("m.clean")))).select("author", F.col("col.label").alias("word")).distinct()
+    used = settle(m, ["author"], uses=absence_counts(F.col("m.clean"))).select("author", F.explode("uses.label").alias("word")).distinct()
     authors = m.select("author").distinct()
     return authors.select("author", F.explode(labels).alias("word")).join(used, ["author", "word"], "left_anti")
 

@@ -132,8 +132,8 @@ def _hits(text: Column, rows: tuple) -> Column:
     def of(type_: str, severity: str, pattern: str, suggestion: str) -> Column:
         return F.transform(R.find(text, _word_pattern(pattern)), lambda m: _issue(type_, severity, F.regexp_replace(m, f"[{R.SPACE}]+", " "), suggestion))
 
-    gate = "|".join(_word_pattern(r[2]).removeprefix("(?i)") for r in rows)
-    return F.when(R.matches(text, "(?i)" + gate), F.concat(*[of(*r) for r in rows]).cast(ISSUE)).otherwise(F.array().cast(ISSUE))
+    gate = f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(_word_pattern(r[2]).removeprefix('(?i)').removeprefix(chr(92) + 'b') for r in rows)})"  # all begin a word
+    return F.when(R.matches(text, gate), F.concat(*[of(*r) for r in rows]).cast(ISSUE)).otherwise(F.array().cast(ISSUE))
 
 
 def _one(when: Column, issue: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.barrier import settle
 from textloom.functions.regex import js_round
 from textloom.operators import profile, scoring
 
@@ -117,7 +118,7 @@ def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     score = F.when(on, scoring.clamp(100 - deducted).cast("int"))
-    return step.select(
-        "doc_id", "author", on.alias("available"), "reason", score.alias("score"), F.when(on, scoring.band(score, scoring.VOICE_BANDS)).alias("band"), F.when(on, deducted).alias("deducted"), "findings",
-        F.when(F.col("bands").isNotNull(), missing).otherwise(F.array().cast("array<string>")).alias("unavailable"), "words",
+    return settle(
+        step, ["doc_id", "author"], available=on, reason=F.col("reason"), score=score, band=F.when(on, scoring.band(score, scoring.VOICE_BANDS)), deducted=F.when(on, deducted), findings=F.col("findings"),
+        unavailable=F.when(F.col("bands").isNotNull(), missing).otherwise(F.array().cast("array<string>")), words=F.col("words"),
     )

@@ -74,7 +74,7 @@ def all_issues(scanned: DataFrame, id_col: str = "doc_id", voice_col: str | None
     ]
     if voice_col:
         parts.append(flat("voice", F.col(voice_col), lambda x: F.lit("voice"), lambda x: x["label"]))
-    out = scanned.select(F.col(id_col).alias("doc_id"), F.posexplode(F.array_sort(F.concat(*parts))).alias("n", "x"))
+    out = settle(scanned.withColumnRenamed(id_col, "doc_id"), ["doc_id"], xs=F.array_sort(F.concat(*parts))).select("doc_id", F.posexplode("xs").alias("n", "x"))
     return out.select("doc_id", F.concat(F.lit("f"), F.col("n").cast("string")).alias("issue_id"), *[F.col(f"x.{c}").alias(c) for c in ("source", "type", "severity", "label", "text", "suggestion")])
 
 

@@ -1,0 +1,225 @@
+"""Text out of files: plain text, docx and PDF. A partial read is an error, never a text.
+
+File decoding is the one place where Python runs on the executors: zip and deflate have no Spark function.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Fixed value: the largest file that is read.
+MAX_BYTES = 12 * 1024 * 1024
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+class ExtractError(ValueError):
+    """A file that can't be read in full, with a message for a person."""
+
+
+def sniff(data: bytes, name: str = "") -> str:
+    """pdf, docx, zip or text: by magic bytes before the name."""
+    if data[:5] == b"%PDF-":
+        return "pdf"
+    if data[:4] == b"PK\x03\x04":
+        return "docx" if name.lower().endswith(".docx") else "zip"
+    return "text"
+
+
+def sniff_column(content: Column, path: Column) -> Column:
+    """sniff() over a binaryFile DataFrame, natively."""
+    head = F.hex(F.substring(content, 1, 5))
+    return F.when(head == "255044462D", "pdf").when(head.startswith("504B0304"), F.when(F.lower(path).endswith(".docx"), "docx").otherwise("zip")).otherwise("text")
+
+
+def xml_text(xml: Column, paragraph: str = "w:p") -> Column:
+    """Paragraph ends become line ends, other tags go without a gap, entities are decoded with the ampersand last."""
+    x = F.regexp_replace(xml, f"</{paragraph}>", "\n")
+    x = F.regexp_replace(x, "<[^>]*>", "")
+    for entity, by in _ENTITIES:
+        x = F.replace(x, F.lit(entity), F.lit(by))
+    return F.regexp_replace(x, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")
+
+
+def docx_xml_to_text(xml: str) -> str:
+    x = re.sub("<[^>]*>", "", xml.replace("</w:p>", "\n"))
+    x = re.sub(r"&#(\d+);", lambda m: chr(int(m[1])), x)
+    x = re.sub(r"&#[xX]([0-9a-fA-F]+);", lambda m: chr(int(m[1], 16)), x)
+    for entity, by in _ENTITIES:
+        x = x.replace(entity, by)
+    return x.strip("\n")
+
+
+def parse_cmap(source: str) -> dict[int, str]:
+    """Glyph code -> text, from bfchar and bfrange sections."""
+    text = lambda h: bytes.fromhex(h if len(h) % 4 == 0 else h.zfill(-(-len(h) // 4) * 4)).decode("utf-16-be", "ignore")
+    found: dict[int, str] = {}
+    for section in re.findall(r"beginbfchar(.*?)endbfchar", source, re.S):
+        for a, b in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", section):
+            found[int(a, 16)] = text(b)
+    for section in re.findall(r"beginbfrange(.*?)endbfrange", source, re.S):
+        for a, b, one, many in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[([^\]]*)\])", section):
+            first, last = int(a, 16), int(b, 16)
+            if one:
+                for k in range(min(last - first + 1, 65536)):
+                    found[first + k] = text(f"{int(one, 16) + k:0{len(one)}x}")
+            else:
+                for k, h in enumerate(re.findall(r"<([0-9A-Fa-f]+)>", many)[: last - first + 1]):
+                    found[first + k] = text(h)
+    return found
+
+
+_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)(?=stream\r?\n|endobj)", re.S)
+_SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>|\[(?:[^\]\\]|\\.)*?\]|T[dDm*]|Tj|TJ|'|\"|ET|/\w+(?=\s+[\d.]+\s+Tf)|-?\d*\.?\d+")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(object number, dictionary, raw stream) of every stream; a declared length wins over a search for the end."""
+    at = 0
+    while m := _OBJECT.search(data, at):
+        at = m.end()
+        head = re.compile(rb"stream\r?\n").match(data, m.end())
+        if not head:
+            continue
+        start, told = head.end(), re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", m[3])
+        end = start + int(told[1]) if told else -1
+        if end < 0 or not re.match(rb"\s*endstream", data[end : end + 20]):
+            end = data.find(b"endstream", start)
+            end = len(data) if end < 0 else end
+        yield int(m[1]), m[3], data[start:end]
+        at = end
+
+
+def _literal(token: bytes) -> bytes:
+    body = token[1:-1]
+    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), body, flags=re.S)
+
+
+def _decode(raw: bytes, cmap: dict[int, str]) -> str:
+    if not cmap:
+        return raw.decode("latin-1")
+    wide = max(cmap) > 255 or len(raw) % 2 == 0 and all(raw[i] == 0 for i in range(0, len(raw), 2))
+    codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if wide else list(raw)
+    return "".join(cmap.get(c, "") for c in codes)
+
+
+def _page_text(content: bytes, cmaps: dict[str, dict[int, str]], any_map: dict[int, str]) -> tuple[str, int]:
+    """Text of a content stream and its number of text operators."""
+    out, drawn, font, shown, numbers = [], 0, any_map, "", []
+    for block in re.findall(rb"BT\b(.*?)\bET\b", content, re.S):
+        for m in _SHOWN.finditer(block):
+            t = m[0]
+            if t[:1] == b"(":
+                shown = _decode(_literal(t), font)
+            elif t[:1] == b"<":
+                h = re.sub(rb"\s", b"", t[1:-1])
+                shown = _decode(bytes.fromhex((h + b"0" * (len(h) % 2)).decode()), font)
+            elif t[:1] == b"[":
+                shown = "".join(_decode(_literal(p) if p[:1] == b"(" else bytes.fromhex((q := re.sub(rb"\s", b"", p[1:-1]).decode()) + "0" * (len(q) % 2)), font) for p in re.findall(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", t))
+            elif t in (b"Tj", b"TJ", b"'", b'"'):
+                out.append(("\n" if t in (b"'", b'"') else "") + shown)
+                drawn, shown = drawn + 1, ""
+            elif t[:1] == b"/":
+                font = cmaps.get(t[1:].decode("latin-1"), any_map)
+            elif t in (b"Td", b"TD", b"Tm", b"T*"):
+                if t == b"T*" or len(numbers) >= 2 and abs(numbers[-1]) > 0.01:
+                    out.append("\n")
+                numbers = []
+            else:
+                numbers.append(float(t))
+        out.append("\n")
+    return "".join(out), drawn
+
+
+def _pdf_text(data: bytes) -> str:
+    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
+        raise ExtractError("This PDF is password-protected. Remove the password or paste the text.")
+    contents, maps, broken, images = [], {}, 0, 0
+    for number, head, raw in _streams(data):
+        if re.search(rb"/Subtype\s*/Image", head):
+            images += 1
+            continue
+        if b"/FlateDecode" in head:
+            try:
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error:
+                broken += 1
+                continue
+        if b"begincmap" in raw or b"beginbf" in raw:
+            maps[number] = parse_cmap(raw.decode("latin-1"))
+        elif b"BT" in raw:
+            contents.append(raw)
+    if broken:
+        raise ExtractError(f"Could not read this PDF: {broken} stream(s) failed to decode. A score on the rest would be worse than none. Export a fresh PDF or paste the text.")
+    fonts = {}
+    for name, number in re.findall(rb"/(\w+)\s+(\d+)\s+\d+\s+R", data):
+        used = re.search(rb"\b" + number + rb"\s+\d+\s+obj(.*?)endobj", data, re.S)
+        told = used and re.search(rb"/ToUnicode\s+(\d+)", used[1])
+        if told and int(told[1]) in maps:
+            fonts[name.decode("latin-1")] = maps[int(told[1])]
+    any_map = {k: v for m in maps.values() for k, v in m.items()}
+    texts, drawn = zip(*(_page_text(c, fonts, any_map) for c in contents), strict=True) if contents else ((), ())
+    text = re.sub(r"(\w-)\n(?=\w)", r"\1", "\n".join(texts))
+    text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", text)).strip()
+    readable = len(re.sub(r"[\s\x00-\x1f]", "", text))
+    if sum(drawn) >= 20 and readable < sum(drawn):
+        raise ExtractError("Could not read this PDF: it draws text, but almost none of it maps to characters.")
+    if not readable:
+        raise ExtractError("No readable text in this PDF" + (": it looks scanned and needs OCR." if images else ". It may be scanned."))
+    return text
+
+
+def extract_text(data: bytes, name: str = "") -> tuple[str, str]:
+    """(text, kind) of a file's bytes, or ExtractError."""
+    if not data:
+        raise ExtractError("The file is empty.")
+    if len(data) > MAX_BYTES:
+        raise ExtractError("The file is too large; the limit is 12MB.")
+    kind = sniff(data, name)
+    if kind == "pdf":
+        return _pdf_text(data), kind
+    if kind == "zip":
+        raise ExtractError("This is a zip archive, not a document. Unpack it first.")
+    if kind == "docx":
+        try:
+            xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8")
+        except (KeyError, zipfile.BadZipFile, zlib.error) as e:
+            raise ExtractError(f"Could not read this docx: {e}") from None
+        return docx_xml_to_text(xml), kind
+    return re.sub("\r\n?", "\n", data.decode("utf-8", "replace")), kind
+
+
+def extract_files(files: DataFrame) -> DataFrame:
+    """binaryFile rows (path, content) -> path, kind, text, error; text is null exactly where error is not."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    text, kind = extract_text(bytes(content) if content is not None else b"", path)
+                    rows.append((path, kind, text, None))
+                except ExtractError as e:
+                    rows.append((path, sniff(bytes(content or b""), path), None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "kind", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, kind string, text string, error string")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a folder, a row a file."""
+    return extract_files(spark.read.format("binaryFile").load(path))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Whole text files as (path, text), line ends normalised, natively."""
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    return raw.select("path", F.regexp_replace("value", "\r\n?", "\n").alias("text"))

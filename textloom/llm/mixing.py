@@ -47,7 +47,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     All columns are kept. Rows that repeat an id are drawn alike; a null id is an id. A source of weight zero is left
     out, as its target says. An empty table gives an empty result. Columns of docs named as the added ones are an error.
     """
-    clash = {"__copy", "__order"} & set(docs.columns)
+    clash = {"__copy", "__order", "__source", "__parts", "__sums", "__draws", "__n"} & set(docs.columns)
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
     mean = rates(docs, source_col, weights, alpha, epoch).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int"))
@@ -58,8 +58,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     mean = mean.withColumn("__sums", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, grow, lambda acc: acc["sums"]))
     mean = mean.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), "__sums")
     met = docs.join(mean, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
-    drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: F.size(F.filter(F.col("__sums"), lambda c: c < uniform(F.lit(seed), F.col(id_col), part))))
-    copies = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
+    # The draws are a column of their own, so that each is hashed once and not again for every term.
+    met = met.withColumn("__draws", F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: uniform(F.lit(seed), F.col(id_col), part)))
+    copies = F.aggregate("__draws", F.lit(0), lambda a, u: a + F.size(F.filter("__sums", lambda c: c < u)))
     out = met.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     out = out.withColumn("__order", uniform(F.lit(seed), F.col(id_col), F.col("__copy"), F.lit("order")))
     return out.select(*[docs[c] for c in docs.columns], "__copy", "__order").orderBy("__order", id_col, "__copy")

@@ -37,7 +37,7 @@ _PLAIN = {"html", "body", "div", "section", "center", "ul", "ol", "dl", "table",
 _HEADS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "option"}
 
 #: Priors of places, in log odds of being content.
-_PRIOR_TAGS = {"nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "fieldset": -6.0, "head": -9.0, "article": 3.0, "main": 1.5, "p": 1.0, "h1": 0.5, "blockquote": 1.0, "pre": 1.0, "a": -0.5}
+_PRIOR_TAGS = {"nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "fieldset": -6.0, "head": -9.0, "article": 3.0, "main": 2.0, "p": 1.0, "h1": 0.5, "blockquote": 1.0, "pre": 1.0, "a": -0.5}
 _PRIOR_MARKS = {
     -6.0: "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr banner notice popup modal overlay ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies disqus respond form signup subscribe newsletter login search share sharing social related recommended pagination pager masthead topbar toolbar widget skip",
     -3.0: "header copyright legal disclaimer tags meta byline widgets",

@@ -97,7 +97,7 @@ def test_house_rule_validation(spark):
 def test_resume_structure(spark):
     rows = {r.doc_id: r for r in resume.analyze(spark.createDataFrame(TEXTS, "doc_id long, text string")).select("*", resume.detect_mode(F.col("r")).alias("mode")).collect()}
     good, ai = rows[-5], rows[-7]
-    assert good.mode == "resume" and [len(b.body.split()) for b in good.r.bullets] == [10, 12, 8, 6, 7] and good.r.blocks == 2
+    assert good.mode == "resume" and [len(b.body.split()) for b in good.r.bullets] == [11, 13, 8, 6, 7] and good.r.blocks == 2
     assert good.a.ai_score == 0 and good.a.craft_score >= 80
     types = {i.type for i in ai.a.issues}
     assert {"resume-llm-verb", "resume-round-metrics", "resume-triad", "resume-uniform-bullets", "resume-missing-contact"} <= types and ai.a.ai_score > 60

@@ -25,7 +25,7 @@ def test_profile(profiles):
     rows = {r.author: r for r in profiles.collect()}
     me, thin = rows["me"], rows["thin"]
     assert me.samples == 4 and all(b.available for b in me.bands.values()) and me.absent_available and "furthermore" in me.absent
-    assert len(me.openers) <= 12 and me.signature
+    assert len(me.openers) <= 12 and me.signature is not None
     assert not any(b.available for b in thin.bands.values())
     assert all(x is None for b in thin.bands.values() for x in (b.low, b.high, b.mean, b.sd))  # nothing leaks
     told = profile.from_json(profile.to_json(me))

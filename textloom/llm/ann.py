@@ -78,13 +78,15 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.withColumn("key", F.md5(F.col("vec").cast("string").cast("binary")))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, candidates: int = 4_000, fit_rows: int = 20_000, most_centroids: int = 1_024) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, candidates: int = 4_000, share: float = 0.45, fit_rows: int = 20_000, most_centroids: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by every.
 
     Rows with a null id, a null or zero vector, or null or non-finite components take no part, nor do vectors of another
     length than the most frequent. A row repeated with the same id and vector counts once; a query is never its own
     neighbour. Ties go to the smaller id. With fewer than k candidates all are returned, with none no row. The codebooks
-    are fitted on at most about fit_rows vectors; every row is indexed. Other columns are not read.
+    are fitted on at most about fit_rows vectors; every row is indexed. A query's cells hold the larger of candidates and
+    share of the entries: vectors that are all but noise around their clusters, as the driver's are, need near half of
+    them for a recall of 0.9, vectors with more structure far less. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = cut(_valid(vectors, id_col, vec_col).groupBy("vec_id", "key").agg(F.first("vec").alias("vec")))
@@ -95,12 +97,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     result = "query_id long, rank int, vec_id long, score double"
     if total == 0:
         return spark.createDataFrame([], result)
-    share = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / total) + 1)
-    sample = entries.filter(share).select("vec").toArrow()["vec"].combine_chunks()
+    picked = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / total) + 1)
+    sample = entries.filter(picked).select("vec").toArrow()["vec"].combine_chunks()
     if not len(sample):
         sample = entries.select("vec").limit(1).toArrow()["vec"].combine_chunks()
     x = _unit(sample.flatten().to_numpy().reshape(len(sample), -1))
-    half = max(1, x.shape[1] // 2)
+    half, enough = max(1, x.shape[1] // 2), max(candidates, int(np.ceil(share * total)))
     size = int(np.clip((total / 8) ** 0.5, 1, most_centroids))
     books = codebook(x[:, :half], size), codebook(x[:, half:], size) if x.shape[1] > half else np.zeros((1, 0))
     shared = spark.sparkContext.broadcast((books, half))
@@ -127,7 +129,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             u = _unit(np.array(vecs)) if vecs else np.empty((0, h))
             for key, vec, unit in zip(batch.column(0).to_pylist(), vecs, u, strict=True):
                 cells: dict[int, list[int]] = {}
-                for i, j in walk(((one - unit[:h]) ** 2).sum(1), ((two - unit[h:]) ** 2).sum(1), grid.value, candidates):
+                for i, j in walk(((one - unit[:h]) ** 2).sum(1), ((two - unit[h:]) ** 2).sum(1), grid.value, enough):
                     cells.setdefault(i, []).append(j)
                 for i, js in cells.items():
                     for name, value in zip(out, (key, vec, i, js), strict=True):
@@ -142,6 +144,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     for r in probes.groupBy("i").count().collect():
         probe_parts[r["i"]] = max(1, -(-r["count"] // BLOCK))
     parts = F.broadcast(spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(entry_parts, probe_parts, strict=True))], "i int, a int, b int"))
+    seconds = sizes.shape[1]
     salt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
     left = placed.join(parts, "i").withColumn("s", salt("key", "a")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).drop("a", "b")
     right = probes.join(parts, "i").withColumn("t", salt("query", "b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("a") - 1))).drop("a", "b")
@@ -149,21 +152,27 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def rank(entry: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "score": [], "ids": []}
         if len(entry) and len(asked):
-            entry = entry.sort_values("j", kind="stable")
             x, js, ids = np.stack(entry["vec"].to_numpy()), entry["j"].to_numpy(), entry["ids"].to_numpy()
-            scale, firsts = np.abs(x).max(1), np.fromiter((v[0] for v in ids), np.int64, len(ids))
-            x = x / scale[:, None]
+            firsts = np.fromiter((v[0] for v in ids), np.int64, len(ids))
+            x = x / np.abs(x).max(1)[:, None]
             norms = np.linalg.norm(x, axis=1)
-            for query, vec, cells in zip(asked["query"], asked["vec"], asked["js"], strict=True):
-                cells = np.sort(cells)
-                spans = zip(np.searchsorted(js, cells, "left"), np.searchsorted(js, cells, "right"), strict=True)
-                own = np.concatenate([np.arange(a, b) for a, b in spans])
-                q = np.asarray(vec) / np.abs(vec).max()
-                scores = (x[own] * q).sum(1) / (norms[own] * np.linalg.norm(q))
-                for o in np.lexsort((firsts[own], -scores))[: k + 1]:
-                    out["query"].append(query)
-                    out["score"].append(float(scores[o]))
-                    out["ids"].append(ids[own[o]])
+            for at in range(0, len(asked), 64):
+                part = asked.iloc[at : at + 64]
+                qs = np.stack(part["vec"].to_numpy())
+                qs = qs / np.abs(qs).max(1)[:, None]
+                near = (x @ (qs / np.linalg.norm(qs, axis=1)[:, None]).T) / norms[:, None]
+                for n, (query, cells) in enumerate(zip(part["query"], part["js"], strict=True)):
+                    probed = np.zeros(seconds, bool)
+                    probed[cells] = True
+                    own = np.flatnonzero(probed[js])
+                    if len(own) > k + 1:  # all that may be among the best, ties and rounding included
+                        s = near[own, n]
+                        own = own[s >= np.partition(s, -k - 1)[-k - 1] - 1e-9]
+                    scores = (x[own] * qs[n]).sum(1) / (norms[own] * np.linalg.norm(qs[n]))
+                    for o in np.lexsort((firsts[own], -scores))[: k + 1]:
+                        out["query"].append(query)
+                        out["score"].append(float(scores[o]))
+                        out["ids"].append(ids[own[o]])
         return pd.DataFrame(out)
 
     found = left.groupBy("i", "s", "t").cogroup(right.groupBy("i", "s", "t")).applyInPandas(rank, "query string, score double, ids array<long>")

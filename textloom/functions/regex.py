@@ -65,6 +65,11 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value, which is then worked out once however often body has it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def js_round(x: Column, digits: int = 0) -> Column:
     """Half up towards positive infinity."""
     k = float(10**digits)
@@ -111,7 +116,6 @@ def _spans(text: Column, pattern: str, most: int | None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if most is not None:
         found = F.slice(found, 1, most)
-    pairs = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit")), F.lit(1), F.size(found))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -119,4 +123,8 @@ def _spans(text: Column, pattern: str, most: int | None) -> Column:
         end = begin + F.length(pair["hit"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("text")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def place(hits: Column) -> Column:
+        pairs = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
+        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    return let(found, place)

@@ -151,13 +151,16 @@ def analyze(docs: DataFrame, text_col: str = "text", technical: Column | None =
     general = F.lit(True) if technical is None else ~technical
     tier2 = tuple(("tier2-word", "medium", p, fix) for p, fix in TIER2)
     step = docs.select(*cols, T.token_count(text).alias("__wc"), _hits(text, tier2).alias("__tier2"), T.sentences(T.clean_for_prose(text)).alias("__sents"), general.alias("__general"))
-    step = step.select("*", F.transform("__sents", T.word_count).alias("__len"), R.count(text, "—").alias("__dashes"), F.transform(T.paragraphs(text), lambda p: T.mean(F.transform(T.sentences(p), T.word_count))).alias("__paras"))
+    step = step.select("*", F.transform("__sents", T.word_count).alias("__len"), R.count(text, "—").alias("__dashes"), T.paragraphs(text).alias("__ps"), F.size(F.array_distinct(F.transform(T.words(text), F.lower))).alias("__distinct"))
+    # The rhythm of paragraphs is only looked at where there are enough of them.
+    rhythm = F.transform("__ps", lambda p: T.mean(F.transform(T.sentences(p), T.word_count)))
+    step = step.select("*", F.when(F.size("__ps") >= 5, rhythm).otherwise(F.array().cast("array<double>")).alias("__paras"))
     lengths, n = F.col("__len"), F.size("__len")
     spread = lambda xs, avg: F.try_divide(F.sqrt(F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - avg) * (x - avg)), F.size(xs))), avg)
     average = T.mean(lengths)
     paras = F.filter("__paras", lambda x: x.isNotNull())
     para_mean = F.try_divide(F.aggregate(paras, F.lit(0.0), lambda a, x: a + x), F.size(paras))
-    distinct = F.size(F.array_distinct(F.transform(T.words(text), F.lower)))
+    distinct = F.col("__distinct")
     clustered = F.size(F.array_distinct(F.transform("__tier2", lambda x: F.lower(x["text"])))) >= TIER2_CLUSTER
     issues = F.concat(
         _hits(text, PHRASES),

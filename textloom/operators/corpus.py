@@ -19,7 +19,7 @@ MIN_SAMPLES, TARGET_SAMPLES, MAX_SAMPLES = 4, 6, 12
 MIN_SAMPLE_WORDS, MAX_SAMPLE_WORDS = 100, 20_000
 MIN_TOTAL_WORDS, STRONG_TOTAL_WORDS = 1_500, 3_000
 FLAGGED_FROM = 41  # the first score above the band "some"
-FORMAT, VERSION = "proof-desk/corpus", 1
+FORMAT, VERSION = "textloom/corpus", 1
 
 
 class SampleError(ValueError):
@@ -75,7 +75,7 @@ def from_json(source) -> list[dict]:
         return normalize(doc)
     if not isinstance(doc, dict):
         raise SampleError("Expected a corpus object or a list.")
-    if doc.get("format") and doc["format"] != FORMAT:
+    if doc.get("format") and not str(doc["format"]).endswith("/corpus"):
         raise SampleError(f'Unrecognized format "{doc["format"]}".')
     if not isinstance(doc.get("samples"), list):
         raise SampleError('Corpus has no "samples" list.')

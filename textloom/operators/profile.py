@@ -61,7 +61,7 @@ mother 100 answer 100 found 100 study 100 still 100 learn 100 should 100 america
 BASELINE = dict(zip(BASELINE_TEXT.split()[::2], map(int, BASELINE_TEXT.split()[1::2]), strict=True))
 BASELINE_FLOOR = 20
 STOPWORDS = sorted(set(BASELINE) | set("am been being both during few further having itself myself nor once own same themselves those under until while yourself ours yours theirs".split()))
-FORMAT, VERSION = "proof-desk/fingerprint", 1
+FORMAT, VERSION = "textloom/fingerprint", 1
 TOP_OPENERS, TOP_SIGNATURE, ABSENCE_STOP = 12, 15, 501
 
 
@@ -190,7 +190,7 @@ def from_json(source) -> dict:
         raise ProfileError(f"That is not valid JSON: {e}") from None
     if not isinstance(doc, dict):
         raise ProfileError("Expected a fingerprint object.")
-    if doc.get("format") != FORMAT:
+    if not str(doc.get("format")).endswith("/fingerprint"):
         raise ProfileError(f'Unrecognized format "{doc.get("format")}".')
     if not isinstance(doc.get("metrics"), dict):
         raise ProfileError("Fingerprint has no metrics.")

@@ -2,12 +2,14 @@
 
 Words become symbols: the most frequent words of the corpus have one each, all others share hashed ones by their
 ending. The network reads the symbols on both sides of a masked one, adds their embeddings in a tanh layer and gives a
-softmax over all symbols. A document's score is the sum of the log-probabilities of each of its words given both its
-neighbours.
+softmax over all symbols. A word's probability is its symbol's, given both its neighbours, times its own among the words
+of that symbol, counted over every document: the vocabulary is the corpus's. A document's score is the sum of the
+log-probabilities of its words.
 
 With windows of one word on a side, the training objective depends on the corpus only through the counts of
 (left, masked, right) symbols. They are gathered from every document and trained on in full: the model sees all of the
-corpus. They come as an array for each task that read text, and are added up by blocks of left symbols.
+corpus. They come as an array for each task that read text, and are added up by blocks of left symbols. The counts of words
+grow with the corpus and stay dealt out by the word's hash.
 """
 
 from __future__ import annotations
@@ -20,11 +22,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._common import shuffle_width
+
 EDGE, FREQUENT, HASHED = 1, 95, 32
 SYMBOLS = EDGE + FREQUENT + HASHED
+#: A chunk of documents ends at so many words or documents.
+CHUNK_WORDS, CHUNK_DOCS = 500_000, 4096
+#: Logarithms of word counts are added up as integers of this fraction, in any order to the same sum.
+_FINE = float(1 << 24)
 
 
 @dataclass
@@ -183,7 +193,7 @@ def train(counts: np.ndarray, width: int = 24, rounds: int = 60, rate: float = 0
 
 
 def score(docs: DataFrame, symbols: Symbols, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_likelihood (the sum), per_word (its mean; null without words) for every row of docs.
+    """doc_id, n_words, log_likelihood (the sum), per_word (its mean; null without words) of the symbols of every row of docs.
 
     Null, empty and blank texts have no words and a sum of 0. Repeated rows each give a row, null ids stay null, and an
     empty table gives an empty result. Other columns are not read.
@@ -205,7 +215,128 @@ def score(docs: DataFrame, symbols: Symbols, network: Network, id_col: str = "do
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
 
 
+class _Words(dict):
+    """word -> number within a task, with the symbol and the hash of each number; number 0 is the edge."""
+
+    def __init__(self, symbols: Symbols) -> None:
+        super().__init__()
+        self.cache = symbols.cache()
+        self.symbol, self.hash = [0], [0]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.symbol)
+        self.symbol.append(self.cache[word])
+        self.hash.append(xxhash.xxh64_intdigest(word.encode("utf-8", "replace")))
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        del self.symbol[1:], self.hash[1:]
+
+
+_NONE = np.zeros(1, np.int64)
+_DEALT = "route int, chunk long, docs binary, words binary, n binary, ids array<long>"
+_DEALT_ARROW = pa.schema([("route", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_SUMMED = "chunk long, docs binary, sums binary, ids array<long>"
+_SUMMED_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+
+def score_words(docs: DataFrame, symbols: Symbols, network: Network, totals: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score(), of the words themselves: a word that shares its symbol adds log(its count in docs / totals[symbol]).
+
+    totals holds the words of docs by symbol. Words are dealt out by a 64-bit hash, which stands for the word; each
+    partition counts its own words and sends each chunk of documents the sums of their logarithms.
+    """
+    width = shuffle_width(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((symbols, network.table().ravel(), np.log(np.maximum(totals, 1))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table, log_totals = shared.value
+        own, chunk = _Words(known), TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = np.array([len(t) for t in texts], np.int64)
+            flat = np.concatenate([x for t in texts for x in (_NONE, t, _NONE)])
+            symbol, word_hash = np.array(own.symbol, np.int64)[flat], np.array(own.hash, np.uint64)
+            doc, number, middle = np.repeat(np.arange(len(texts)), sizes + 2)[1:-1], flat[1:-1], symbol[1:-1]
+            gain = table[(symbol[:-2] * SYMBOLS + symbol[2:]) * SYMBOLS + middle].astype(np.float64)
+            gain[middle == 0] = 0
+            shares = middle >= EDGE + FREQUENT
+            gain[shares] -= log_totals[middle[shares]]
+            base = np.bincount(doc, gain, len(texts))
+            pair, n = np.unique(doc[shares] * len(own.symbol) + number[shares], return_counts=True)
+            at, words = pair // len(own.symbol), word_hash[pair % len(own.symbol)]
+            route = (words % np.uint64(width)).astype(np.int64)
+            order = np.argsort(route, kind="stable")
+            used, starts = np.unique(route[order], return_index=True)
+            cuts = [np.split(x[order], starts[1:]) if used.size else [] for x in (at.astype(np.int32), words, n.astype(np.int32))]
+            blocks = [[x.tobytes() for x in c] for c in cuts]
+            # The documents themselves go along in a row that has their ids.
+            rows = [[*used.tolist(), chunk % width], [chunk] * (used.size + 1), [*blocks[0], sizes.tobytes()], [*blocks[1], base.tobytes()], [*blocks[2], b""], [None] * used.size + [list(ids)]]
+            ids.clear(), texts.clear()
+            if len(own) > 400_000:
+                own.forget()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _DEALT_ARROW, strict=True)], schema=_DEALT_ARROW)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = (text or "").split()
+                ids.append(doc_id)
+                texts.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
+                size += len(words)
+                if size >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
+                    yield flush()
+                    chunk, size = chunk + 1, 0
+        if ids:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, docs_of, words, n = [], [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["ids"] is not None:
+                    yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "docs": row["docs"], "sums": row["words"], "ids": row["ids"]}], _SUMMED_ARROW)
+                    continue
+                chunks.append(row["chunk"])
+                docs_of.append(np.frombuffer(row["docs"], np.int32))
+                words.append(np.frombuffer(row["words"], np.uint64))
+                n.append(np.frombuffer(row["n"], np.int32))
+        if not chunks:
+            return
+        _, word = np.unique(np.concatenate(words), return_inverse=True)
+        times = np.concatenate(n)
+        weight = np.round(np.log(np.bincount(word, times)) * _FINE).astype(np.int64)
+        value, at = times * weight[word], 0
+        for chunk, doc in zip(chunks, docs_of, strict=True):
+            # Documents ascend in a block.
+            starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            sums = np.add.reduceat(value[at : at + len(doc)], starts)
+            at += len(doc)
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "docs": doc[starts].tobytes(), "sums": sums.tobytes(), "ids": None}], _SUMMED_ARROW)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, sums = {}, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = row["chunk"]
+                if row["ids"] is not None:
+                    heads[chunk] = (row["ids"], np.frombuffer(row["docs"], np.int64), np.frombuffer(row["sums"], np.float64))
+                    continue
+                own = sums.setdefault(chunk, np.zeros(CHUNK_DOCS, np.int64))
+                own[np.frombuffer(row["docs"], np.int32)] += np.frombuffer(row["sums"], np.int64)
+        for chunk, (ids, sizes, base) in heads.items():
+            total = base + sums[chunk][: len(ids)] / _FINE if chunk in sums else base
+            per = [s / n if n else None for s, n in zip(total.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total), pa.array(per, pa.float64())], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(deal, _DEALT)
+    summed = dealt.repartition(width, "route").mapInArrow(count, _SUMMED)
+    return summed.repartition(width, "chunk").mapInArrow(add, "doc_id long, n_words long, log_likelihood double, per_word double")
+
+
 def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count, train and score on the same documents."""
     symbols = Symbols(frequent_words(docs, text_col))
-    return score(docs, symbols, train(window_counts(docs, symbols, text_col)), id_col, text_col)
+    counts = window_counts(docs, symbols, text_col)
+    return score_words(docs, symbols, train(counts), counts.sum((0, 1)), id_col, text_col)

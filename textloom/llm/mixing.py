@@ -41,6 +41,11 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
     return sizes.join(F.broadcast(whole), F.lit(True)).select("source", "n", F.coalesce(share * F.col("all_n") * F.lit(float(epoch)) / F.col("n"), F.lit(0.0)).alias("rate"))
 
 
+def order(doc_id: Column, copy: Column, seed: int = 11) -> Column:
+    """The place of a copy in the global shuffle, in (0, 1)."""
+    return uniform(F.lit(seed), doc_id, copy, F.lit("order"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, epoch: float = 1.0, seed: int = 11) -> DataFrame:
     """docs with every row replaced by its copies, in shuffled order, with columns __copy (from 0) and __order added.
 
@@ -62,7 +67,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     met = met.withColumn("__draws", F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: uniform(F.lit(seed), F.col(id_col), part)))
     copies = F.aggregate("__draws", F.lit(0), lambda a, u: a + F.size(F.filter("__sums", lambda c: c < u)))
     out = met.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    out = out.withColumn("__order", uniform(F.lit(seed), F.col(id_col), F.col("__copy"), F.lit("order")))
+    out = out.withColumn("__order", order(F.col(id_col), F.col("__copy"), seed))
     return out.select(*[docs[c] for c in docs.columns], "__copy", "__order").orderBy("__order", id_col, "__copy")
 
 

@@ -3,17 +3,18 @@
 A global histogram of lengths goes through a dynamic programme that picks the bucket bounds with the least padding:
 a document in a bucket is padded to the bucket's bound, its longest length. For a fixed last bound the choice of the
 bound before it is a minimum over lines, so each further bucket costs one pass over the distinct lengths. Within a
-bucket documents fill token-budget batches in the order of a hash.
+bucket documents fill token-budget batches in the order of a hash of the document and the number of its copy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._common import cut
+from textloom.llm.mixing import uniform
 
 CHUNK_ROWS = 50_000
 
@@ -63,12 +64,17 @@ def optimal_bounds(lengths: Sequence[int], counts: Sequence[int], buckets: int)
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = 16, budget: int = 16_384) -> DataFrame:
+def hashed(doc_id: Column, copy: Column) -> Column:
+    return uniform(F.lit("pack"), doc_id, copy)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = 16, budget: int = 16_384, order: Callable[[Column, Column], Column] = hashed) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens, batch, position for every row of docs.
 
     bucket counts from 0 in order of length; bucket_tokens is its bound, to which its documents are padded. A batch
     of a bucket holds budget // bucket_tokens documents, one at least: a document above the budget is a batch of its
-    own. position counts from 0 in the batch; only a bucket's last batch may be short. Lengths are words unless a
+    own. order(doc_id, copy) is a number in (0, 1) by which a bucket's rows are laid in batches; copy counts the rows of
+    one id and length from 0, so that copies of a document are spread. position counts from 0 in the batch; only a bucket's last batch may be short. Lengths are words unless a
     length column is given; null lengths count as 0, and a bound of 0 takes up a token. Repeated rows and null ids are
     packed as rows of their own. An empty table gives an empty result. Other columns are not read.
     """
@@ -81,12 +87,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     held = F.array(*map(F.lit, bounds)) if bounds else F.array(F.lit(0))
     bucket = F.size(F.filter(held, lambda b: b < F.col("n_tokens")))
     chunks = max(1, -(-total // CHUNK_ROWS))
-    draw = F.xxhash64("doc_id", "n_tokens", F.lit("pack"))
-    rows = sized.withColumn("bucket", bucket).withColumn("draw", draw).withColumn("chunk", F.pmod(F.shiftrightunsigned("draw", 8), F.lit(chunks)).cast("int"))
+    copies = sized.groupBy("doc_id", "n_tokens").count().withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).drop("count")
+    rows = copies.withColumn("bucket", bucket).withColumn("draw", order(F.col("doc_id"), F.col("copy"))).withColumn("chunk", F.floor(F.col("draw") * chunks).cast("int"))
     # The rank in a bucket: the rank in a chunk of it, after the sizes of the chunks before.
     sizes = rows.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk")) - F.col("n")).drop("n")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("draw", "doc_id")) - 1)
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("draw", "doc_id", "n_tokens", "copy")) - 1)
     ranked = ranked.join(sizes, ["bucket", "chunk"]).withColumn("r", F.col("r") + F.col("base"))
     ranked = ranked.withColumn("bucket_tokens", F.element_at(held, F.col("bucket") + 1).cast("long"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_tokens")))).cast("long")

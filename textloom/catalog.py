@@ -64,19 +64,40 @@ def calibrate_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step.select("doc_id", F.col("c.score").cast("long").alias("score"), F.col("c.band").alias("band"), js_round(F.col("c.evidence"), 3).alias("evidence"), scoring.band((F.col("doc_id") * 3) % 140 - 20, scoring.VOICE_BANDS).alias("voice_band"))
 
 
-def profile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = profile.bands(profile.measured(extras.author_samples(spark, sf_dir)))
+def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with the prose detector's verdict. The documents state no override, so none has one."""
+    return corpus.screen(extras.author_samples(spark, sf_dir).withColumn("override", F.lit(False)))
+
+
+def _bands(samples: DataFrame) -> DataFrame:
+    b = profile.bands(profile.measured(samples))
     return b.select("author", "metric", "available", "have", F.col("samples").cast("long").alias("samples"), "mean", "sd", "low", "high")
 
 
+def profile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bands(extras.author_samples(spark, sf_dir))
+
+
+def screened_profile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bands(corpus.usable(_screened(spark, sf_dir)))
+
+
 def openers_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.openers(profile.measured(extras.author_samples(spark, sf_dir)))
 
 
+def screened_openers_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.openers(profile.measured(corpus.usable(_screened(spark, sf_dir))))
+
+
 def signature_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.signature_words(profile.measured(extras.author_samples(spark, sf_dir)))
 
 
+def screened_signature_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.signature_words(profile.measured(corpus.usable(_screened(spark, sf_dir))))
+
+
 def absent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absence over the sample texts and the documents, by source; the sample texts are an author of their own."""
     x = extras.texts(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id", "left")
@@ -85,24 +106,44 @@ def absent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readiness rule over stated flags, as its SQL has it; screened_corpus_status asks the detector."""
     flagged = extras.author_samples(spark, sf_dir).withColumn("flagged", F.col("sample") % 7 == 0)
     return corpus.status(flagged).drop("flagged_count")
 
 
-def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voice.compare(extras.drafts(spark, sf_dir), profile.build(extras.author_samples(spark, sf_dir)))
+def screened_corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.status(_screened(spark, sf_dir))
 
 
-def voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _voice(spark, sf_dir)
+def _voice(spark: SparkSession, sf_dir: str, samples: DataFrame) -> DataFrame:
+    return voice.compare(extras.drafts(spark, sf_dir), profile.build(samples))
+
+
+def _scores(v: DataFrame) -> DataFrame:
     return v.select("doc_id", "author", "available", F.col("score").cast("long").alias("score"), "band", F.col("deducted").cast("long").alias("deducted"))
 
 
-def voice_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _voice(spark, sf_dir).select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
+def _findings(v: DataFrame) -> DataFrame:
+    x = v.select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
     return x.filter("metric <> 'sentenceOpeners'").select("doc_id", "metric", "severity", "direction", "draft_value", F.col("penalty").cast("long").alias("penalty"), "text")
 
 
+def voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_voice(spark, sf_dir, extras.author_samples(spark, sf_dir)))
+
+
+def screened_voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(_voice(spark, sf_dir, corpus.usable(_screened(spark, sf_dir))))
+
+
+def voice_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(_voice(spark, sf_dir, extras.author_samples(spark, sf_dir)))
+
+
+def screened_voice_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(_voice(spark, sf_dir, corpus.usable(_screened(spark, sf_dir))))
+
+
 def resume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = settle(extras.texts(spark, sf_dir), ["doc_id"], lines=resume.lines(F.coalesce(F.col("text"), F.lit("")))).select("doc_id", F.inline("lines"))
     return x.select("doc_id", F.col("index").cast("long").alias("line"), F.col("words").cast("long").alias("words"), "blank", "glyph", "heading", "body")
@@ -151,6 +192,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     text_stats, sentence_openers_per_text, word_freq_topk, contact_predicates, rule_matches, calibrate_bands, profile_bands, openers_top12, signature_words, absent_words, corpus_status,
+    screened_corpus_status, screened_profile_bands, screened_openers_top12, screened_signature_words, screened_voice_scores, screened_voice_findings,
     voice_scores, voice_findings, resume_lines, resume_bullets, resume_structure, resume_findings, resume_scores, scan_documents, all_issues_order, fix_text, html_text,
 )
 

@@ -92,15 +92,12 @@ def test_links_keep_all_connections_of_a_dense_group(spark):
     assert [find(i) for i in range(len(ordered))] == [label[i] for i in range(len(ordered))]
 
 
-def test_empty_null_ids_and_keep(spark):
+def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_near_duplicates(empty).collect() == []
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (5, "a b c d e"), (9, "q r s t u v w")], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.simhash_near_duplicates(df).collect()}
     assert got == {None: 5, 7: 5, 5: 5, 9: 9}
-    kept = simhash.keep_one_of_each(df)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {None, 5, 9}
 
 
 def test_components_of_a_long_chain(spark):

@@ -166,16 +166,3 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
     groups = groups.join(least, "label").select("fp", "copies", "component_id")
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """docs without its near-duplicates: of each component the document with the smallest id stays, all columns kept.
-
-    Of rows that repeat the id that stays, one stays. Rows with a null id are not compared and stay.
-    """
-    found = cut(simhash_near_duplicates(docs, id_col, text_col, shingle, max_distance).select("doc_id", "component_id").filter("doc_id IS NOT NULL"))
-    named = F.col(id_col).cast("long") == F.col("__id")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    repeated = found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
-    single = docs.join(gone.unionByName(repeated).distinct(), named, "left_anti")
-    return single.unionByName(docs.join(repeated.join(gone, "__id", "left_anti"), named, "left_semi").dropDuplicates([id_col]))

@@ -57,8 +57,10 @@ def test_mixing_matches_its_sql(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, str(r["source"]), r["__copy"], r["__order"]) for r in mixing.mix(docs).collect())
     con = duckdb.connect()
     con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
-    want = sorted((i is None or i != i, 0 if i is None or i != i else int(i), str(s), c, u) for i, s, c, u in con.execute(mixing.ORACLE_SQL).fetchall())
+    want = sorted((i is None or i != i, 0 if i is None or i != i else int(i), str(s), c, u) for i, s, _, c, u in con.execute(mixing.ORACLE_SQL).fetchall())
     assert got == want and len(got) > 100
+    salted = mixing.mix(docs, most_broadcast=0).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, str(r["source"]), r["__copy"], r["__order"]) for r in salted) == want
 
 
 def test_mixing_reaches_its_targets(spark):

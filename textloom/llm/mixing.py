@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._common import cut, shuffle_width
+
 #: Means above this are drawn as a sum of draws of an equal part each.
 MOST_MEAN = 32.0
 #: Terms of the distribution that are added up; beyond them lies less than a double tells from 1.
@@ -46,13 +48,28 @@ def order(doc_id: Column, copy: Column, seed: int = 11) -> Column:
     return uniform(F.lit(seed), doc_id, copy, F.lit("order"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, epoch: float = 1.0, seed: int = 11) -> DataFrame:
+#: Sources up to this number are broadcast, at some 1.1 kB each; beyond it they meet the documents in a salted join.
+MOST_BROADCAST, SALTS = 10_000, 32
+
+
+def _with_means(docs: DataFrame, mean: DataFrame, id_col: str, source_col: str, most_broadcast: int) -> DataFrame:
+    """Every row of docs with the __parts and __sums of its source; no source, however large, is one task's."""
+    same = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
+    if mean.count() <= most_broadcast:
+        return docs.join(F.broadcast(mean), same)
+    salted = mean.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("__own", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, epoch: float = 1.0, seed: int = 11, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """docs with every row replaced by its copies, in shuffled order, with columns __copy (from 0) and __order added.
 
     All columns are kept. Rows that repeat an id are drawn alike; a null id is an id. A source of weight zero is left
     out, as its target says. An empty table gives an empty result. Columns of docs named as the added ones are an error.
+    __order is even over (0, 1), so copies are dealt to their place in the order without a sample of them: rows are
+    shuffled once.
     """
-    clash = {"__copy", "__order", "__source", "__parts", "__sums", "__draws", "__n"} & set(docs.columns)
+    clash = {"__copy", "__order", "__source", "__parts", "__sums", "__draws", "__n", "__own", "__salt"} & set(docs.columns)
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
     mean = rates(docs, source_col, weights, alpha, epoch).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int"))
@@ -61,14 +78,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     start = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("sums"))
     grow = lambda acc, k: F.struct((acc["p"] * F.col("mean") / k).alias("p"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + acc["p"] * F.col("mean") / k)).alias("sums"))
     mean = mean.withColumn("__sums", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, grow, lambda acc: acc["sums"]))
-    mean = mean.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), "__sums")
-    met = docs.join(mean, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
+    mean = cut(mean.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), "__sums"))
+    met = _with_means(docs, mean, id_col, source_col, most_broadcast)
     # The draws are a column of their own, so that each is hashed once and not again for every term.
-    met = met.withColumn("__draws", F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: uniform(F.lit(seed), F.col(id_col), part)))
+    met = met.withColumn("__draws", F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: uniform(F.lit(seed), F.col(f"`{id_col}`"), part)))
     copies = F.aggregate("__draws", F.lit(0), lambda a, u: a + F.size(F.filter("__sums", lambda c: c < u)))
     out = met.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    out = out.withColumn("__order", order(F.col(id_col), F.col("__copy"), seed))
-    return out.select(*[docs[c] for c in docs.columns], "__copy", "__order").orderBy("__order", id_col, "__copy")
+    out = out.withColumn("__order", order(F.col(f"`{id_col}`"), F.col("__copy"), seed)).select(*[docs[f"`{c}`"] for c in docs.columns], "__copy", "__order")
+    width = shuffle_width(docs.sparkSession)
+    return out.repartitionById(width, F.floor(F.col("__order") * width).cast("int")).sortWithinPartitions("__order", f"`{id_col}`", "__copy")
 
 
 #: op6's rows in DuckDB's SQL, with the defaults of mix().
@@ -83,10 +101,10 @@ terms AS (
 ),
 sums AS (SELECT source, parts, list(c ORDER BY k) AS cs FROM terms GROUP BY source, parts),
 draws AS (
-  SELECT d.doc_id, d.source, s.cs, (('0x' || substr(md5('11|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || part::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / {_SCALE}::DOUBLE AS u, d.row
-  FROM (SELECT doc_id, source, row_number() OVER () AS row FROM documents) d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(s.parts)) AS t(part)
+  SELECT d.doc_id, d.source, d.text, s.cs, (('0x' || substr(md5('11|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || part::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / {_SCALE}::DOUBLE AS u, d.row
+  FROM (SELECT doc_id, source, text, row_number() OVER () AS row FROM documents) d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(s.parts)) AS t(part)
 ),
-counts AS (SELECT row, doc_id, source, sum(len(list_filter(cs, lambda c: c < u)))::BIGINT AS n FROM draws GROUP BY row, doc_id, source)
-SELECT doc_id, source, i::INTEGER AS copy, (('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, 'null') || '|' || i::VARCHAR || '|order'), 1, 13))::BIGINT::DOUBLE + 0.5) / {_SCALE}::DOUBLE AS shuffle_key
+counts AS (SELECT row, doc_id, source, text, sum(len(list_filter(cs, lambda c: c < u)))::BIGINT AS n FROM draws GROUP BY row, doc_id, source, text)
+SELECT doc_id, source, md5(text) AS text_md5, i::INTEGER AS copy, (('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, 'null') || '|' || i::VARCHAR || '|order'), 1, 13))::BIGINT::DOUBLE + 0.5) / {_SCALE}::DOUBLE AS shuffle_key
 FROM counts, unnest(range(n)) AS t(i)
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import ann, lm_score, lz_fingerprint, main_text, mixing, packing, quality, simhash, token_counts, toxicity
 from textloom.llm._common import read
@@ -31,8 +32,9 @@ def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mixed.withColumnsRenamed({"__copy": "copy", "__order": "shuffle_key"})
+    """Whole documents are replicated and shuffled; a digest of each copy's text is returned in its place."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
 
 
 def op7_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

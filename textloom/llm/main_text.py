@@ -1,13 +1,21 @@
 """Main text of web pages: a maximum-scoring subsequence of words and tags.
 
-A page is read as a sequence of tags and runs of words. Tags cost; words earn or cost by where they stand. One linear
-scan finds the contiguous region with the largest sum. Words of the region that cost (an advert or a form amid the
-article) are left out of its text.
-
-What a tag costs and what a place is worth are log odds learned from labelled pages. A page labels itself where it
-marks its article (<article>, or else <main>): its words inside are content, those outside are not. Places are the
-names of the tags around a word and the words of their class, id and role; stated priors stand for what no labelled
-page shows.
+A page is read as a sequence of tags and runs of words. Tags cost; words earn or cost by the place they stand in. One
+linear scan finds the contiguous region with the largest sum. Words of the region that cost (an advert or a form amid
+the article) are left out of its text.
+
+A place is judged together, not tag by tag: first comes the boilerplate that encloses the words (a menu, a footer, a
+sidebar, told by a tag, a role or a whole class name), then whether they stand in marked content (<article>, <main>, or
+a class such as post-content), and only for words in neither does the tag of their block count, and whether the block is
+all links. So a link or a list inside an article is as good as its paragraphs.
+
+What these places are worth and what tags cost are log odds learned from labelled pages: pages that mark their article
+label their own words. The mark itself is never a learned feature, so the weights also tell content on pages without
+one; stated priors stand for what no labelled page shows. Class names that labelled pages have only outside of articles
+are learned as boilerplate too.
+
+A class can also describe a layout (right-sidebar on the element that holds everything). Boilerplate that encloses all
+but nothing of the page's other words is taken for such a layout, and an article in it counts if there is none outside.
 """
 
 from __future__ import annotations
@@ -18,131 +26,228 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_MARKS = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A quoted value ends at a quote that ends the attribute; without one, the quote is a plain character. An unfinished
+#: tag ends the page; "<" that begins no tag is text.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^<>])*+)(?:>|\Z)", re.S)
+_MARKS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "canvas", "math", "xmp", "noembed", "noframes"}
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+#: What these hold is no text of the page: code, metadata, the parts of a form, or what stands in for scripts and frames.
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "select", "datalist", "noembed", "noframes", "annotation"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Tags that say nothing of their own about a place.
-_PLAIN = {"html", "body", "div", "section", "center", "ul", "ol", "dl", "table", "tbody", "tr"} | (_INLINE - {"a"})
-#: Opened by these, an inline or paragraph tag that was left open ends.
-_HEADS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "option"}
-
-#: Priors of places, in log odds of being content.
-_PRIOR_TAGS = {"nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "fieldset": -6.0, "head": -9.0, "article": 3.0, "main": 2.0, "p": 1.0, "h1": 0.5, "blockquote": 1.0, "pre": 1.0, "a": -0.5}
-_PRIOR_MARKS = {
-    -6.0: "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr banner notice popup modal overlay ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies disqus respond form signup subscribe newsletter login search share sharing social related recommended pagination pager masthead topbar toolbar widget skip",
-    -3.0: "header copyright legal disclaimer tags meta byline widgets",
-    2.0: "article content post entry story main body text",
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub mfrac".split())
+#: Opened by the first, an open one of the second ends, if none of the third was opened since.
+_ENDS = {
+    "li": ("li", ("ul", "ol", "menu")),
+    "dt": ("dt dd", ("dl",)),
+    "dd": ("dt dd", ("dl",)),
+    "td": ("td th", ("table",)),
+    "th": ("td th", ("table",)),
+    "tr": ("tr td th", ("table",)),
+    "option": ("option", ("select",)),
 }
-_MARK_PRIOR = {word: odds for odds, words in _PRIOR_MARKS.items() for word in words.split()}
-MOST = 6.0
-
-
-def _around(name: str, attributes: str) -> tuple[str, ...]:
-    """Features of the place that a tag opens."""
-    found = [] if name in _PLAIN else [f"<{name}"]
-    if attributes and "=" in attributes:
-        for m in _MARKS.finditer(attributes):
-            found += [f".{p.lower()}" for p in _PARTS.findall(html.unescape(m[1] or m[2] or m[3] or ""))]
-    return tuple(found)
-
-
-def _pieces(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """(tag, text, place): each tag with an empty text, each run of text with an empty tag.
-
-    place has the features of all open tags, outermost first. Unclosed tags end with what encloses them; a paragraph or
-    cell also ends where the next begins, and an article begins outside of any block that costs by prior.
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+#: Boilerplate by tag and by role.
+_OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "header"}
+_ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog"}
+#: Words that make a class name boilerplate, where the whole name says so: the last part of it, or the first with only
+#: parts of the next list after it.
+_OUTSIDE_WORDS = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr banner notice popup modal overlay ad ads adv advert adverts "
+    "advertisement advertising sponsor sponsored promo promotion comment comments reply replies disqus respond form signup subscribe newsletter login share sharing "
+    "social related recommended pagination pager masthead topbar toolbar widget widgets header copyright legal disclaimer tags meta byline".split()
+)
+_HOLDERS = set("area bar block body bottom box button container content footer form heading holder inner item items left links list message notice panel right section slot text title top unit widget widgets wrap wrapper".split())
+#: A name with one of these states something about a page and is no part of it.
+_STATES = set("has with without no not is are open closed free enabled disabled on off hidden visible layout".split())
+_CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text", "hentry"}
+#: Never taken for a layout.
+_SURE = set("nav footer aside menu dialog button fieldset head .comment .comments .reply .replies .disqus .respond .cookie .cookies .consent .gdpr .ad .ads .adv .advert .adverts .advertisement .advertising .sponsor .sponsored .popup .modal".split())
+
+#: Priors in log odds of being content, for words in no marked place; a block of links alone; boilerplate.
+_PRIOR_BLOCKS = {"p": 1.0, "h1": 0.5, "blockquote": 1.0, "pre": 1.0}
+PRIOR, LINKS, OUTSIDE, MOST = 0.4, -1.5, -6.0, 6.0
+
+
+def class_kind(name: str) -> str:
+    """'.word' for a class or id that names boilerplate, 'content' for one that names content, else ''."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if not parts or not _STATES.isdisjoint(parts):
+        return ""
+    last = parts[-1]
+    if last in _OUTSIDE_WORDS and not (last == "header" and not {"article", "post", "entry", "story"}.isdisjoint(parts)):
+        return "." + last
+    if parts[0] in _OUTSIDE_WORDS and all(p in _HOLDERS or p.isdigit() for p in parts[1:]):
+        return "." + parts[0]
+    return "content" if last in _CONTENT_WORDS else ""
+
+
+class Place(NamedTuple):
+    """Where words stand: enclosing boilerplate, how content is marked (2 by tag, 1 by class), block tag, class, link."""
+
+    outside: str = ""
+    marked: int = 0
+    block: str = ""
+    name: str = ""
+    link: bool = False
+
+
+class _Open(NamedTuple):
+    tag: str
+    place: Place
+    root: int  # number of the outermost boilerplate element, -1 for none
+
+
+class Page:
+    """Tags and runs of words of a page with their places.
+
+    Unclosed tags end with what encloses them; a paragraph ends where a block begins and a cell or item where the next
+    one does. Each step looks at the top of the open tags alone, so that depth costs nothing.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    place: tuple[str, ...] = ()
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if (m.start() if m else len(page)) > at:
-            yield "", page[at : m.start() if m else len(page)], place
-        if not m:
-            return
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        closing, before = bool(m[1]), len(stack)
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name in _RAW:
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in _VOID:
-            if name in _HEADS or name not in _INLINE and name not in ("ul", "ol", "table", "dl"):
-                # an open paragraph or heading can't hold a block; what was left open inside it ends too
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] not in _HEADS and stack[i][0] not in _INLINE:
-                        break
-                    if stack[i][0] == name or stack[i][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                        del stack[i:]
-                        break
-            if name in ("article", "main") and not any(t in ("article", "main") for t, _ in stack):
-                for i, (_, marks) in enumerate(stack):
-                    if _prior(marks) <= -2:
-                        del stack[i:]
-                        break
-            stack.append((name, _around(name, m[3])))
-        if len(stack) != before or not closing:
-            place = tuple(x for _, marks in stack for x in marks)
-        yield ("/" if closing else "") + name, "", place
-
-
-def _prior(features: tuple[str, ...]) -> float:
-    return sum(_PRIOR_TAGS.get(x[1:], 0.0) if x[0] == "<" else _MARK_PRIOR.get(x[1:], 0.0) for x in features)
+
+    def __init__(self, page: str, learned: dict[str, float], layouts: frozenset[int] = frozenset(), reopen: bool = False) -> None:
+        self.learned, self.layouts, self.reopen = learned, layouts, reopen
+        self.pieces: list[tuple[str, str, Place, int]] = []  # tag, text, place, block number
+        self.words: Counter = Counter()  # by number of the outermost boilerplate element
+        self.roots: dict[int, str] = {}
+        self.marked_outside = self.marked_inside = False
+        self.stack: list[_Open] = []
+        self.at: dict[str, list[int]] = {}
+        self._read(page)
+
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.at[self.stack.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=-1)
+
+    def _open(self, tag: str, attributes: str, number: int) -> None:
+        over = self.stack[-1] if self.stack else _Open("", Place(), -1)
+        place, root = over.place, over.root
+        outside, content, name = (tag if tag in _OUTSIDE else ""), tag in ("article", "main"), place.name
+        by_class = False
+        if "=" in attributes and tag not in ("html", "body"):
+            for m in _MARKS.finditer(attributes):
+                for x in html.unescape(m[2] or m[3] or m[4] or "").split():
+                    kind = _ROLES.get(x.lower(), "content" if x.lower() in ("main", "article") else "") if m[1].lower() == "role" else class_kind(x)
+                    if kind == "content":
+                        by_class = True
+                    elif kind and not (tag in ("article", "main") and not kind.startswith(".comment")):
+                        outside = outside or kind
+                    elif not kind and m[1].lower() != "role":
+                        name = x
+                        if self.learned.get("class " + x, 0.0) <= -3 and tag not in ("article", "main"):
+                            outside = outside or "class " + x
+        if place.marked == 2 and outside in ("header", ".header"):
+            outside = ""  # it heads the article
+        if content and not outside:
+            if place.outside:
+                self.marked_inside = True
+                if self.reopen:
+                    place, root = Place(), -1
+            else:
+                self.marked_outside = True
+        if outside and not place.outside and number not in self.layouts:
+            place, root = place._replace(outside=outside), number
+            self.roots[number] = outside
+        marked = place.marked
+        if not place.outside:
+            marked = max(marked, 2 if content else 1 if by_class else 0)
+        block = place.block if tag in _INLINE else tag
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Open(tag, Place(place.outside, marked, block, name, place.link or tag == "a"), root))
+
+    def _read(self, page: str) -> None:
+        at = number = block = 0
+        while True:
+            m = _TOKEN.search(page, at)
+            end = m.start() if m else len(page)
+            if end > at:
+                over = self.stack[-1] if self.stack else _Open("", Place(), -1)
+                text = page[at:end]
+                self.words[over.root] += len(text.split())
+                self.pieces.append(("", text, over.place, block))
+            if not m:
+                return
+            at, tag, number = m.end(), (m[2] or "").lower(), number + 1
+            if not tag:
+                continue
+            if m[1]:
+                if own := self.at.get(tag):
+                    self._cut(own[-1])
+            elif tag in _RAW:
+                close = _RAW_END[tag].search(page, at)
+                at = close.end() if close else len(page)
+            elif tag not in _VOID:
+                if tag not in _INLINE:
+                    p = self._last(("p",))
+                    if p > self._last(("td", "th", "button", "object")):
+                        self._cut(p)
+                    if tag in _HEADINGS and self.stack and self.stack[-1].tag in _HEADINGS:
+                        self._cut(len(self.stack) - 1)
+                if tag in _ENDS:
+                    ended, scope = _ENDS[tag]
+                    since = self._last(scope)
+                    first = [own[-1] for t in ended.split() if (own := self.at.get(t)) and own[-1] > since]
+                    if first:
+                        self._cut(min(first))
+                self._open(tag, m[3], number)
+            if tag not in _INLINE and tag != "li":  # the items of a list are judged together
+                block += 1
+            self.pieces.append((("/" if m[1] else "") + tag, "", self.stack[-1].place if self.stack else Place(), block))
+
+    def layout(self) -> int:
+        """Number of an element that is taken for boilerplate but holds all but nothing of the page's other words; -1 for none."""
+        most = max((k for k, kind in self.roots.items() if kind not in _SURE), key=lambda k: self.words[k], default=-1)
+        return most if most >= 0 and self.words[most] and self.words[-1] * 10 < self.words[most] else -1
+
+
+def read_page(page: str, learned: dict[str, float]) -> Page:
+    """The page, read again while an element turns out to be a layout, or the only article to stand in boilerplate."""
+    layouts: frozenset[int] = frozenset()
+    found = Page(page, learned)
+    if found.marked_inside and not found.marked_outside:
+        found = Page(page, learned, layouts, True)
+    for _ in range(8):
+        if (wrap := found.layout()) < 0:
+            break
+        layouts |= {wrap}
+        found = Page(page, learned, layouts, found.reopen)
+    return found
 
 
 @dataclass
 class Weights:
-    """Log odds: places by feature, tags by name. Empty: priors only."""
+    """Log odds by feature ('block p', 'outside nav', 'class x') and costs of tags. Empty: priors only."""
 
     places: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def worth(self, place: tuple[str, ...]) -> float:
-        """What a word earns: 1 at most, less than 0 where its place speaks against it.
-
-        A header counts by prior only outside of the article; inside, it heads the article.
-        """
-        inside = "<article" in place or "<main" in place
-        total = 0.5
-        for x in set(place):
-            known = self.places.get(x)
-            if known is None:
-                known = _prior((x,))
-            if inside and x in ("<header", ".header"):
-                known = max(known, 0.0)
-            total += known
-        # An enclosing block that is boilerplate settles it, whatever is inside.
-        worst = min((self.places.get(x, _prior((x,))) for x in place if not (inside and x in ("<header", ".header"))), default=0.0)
-        if worst <= -3:
-            total = min(total, worst)
-        return max(-0.1 if self.holds(place) else -1.0, min(1.0, total))
-
-    def holds(self, place: tuple[str, ...]) -> bool:
-        """Whether some open tag speaks for content so clearly that what interrupts it costs little."""
-        return any(self.places.get(x, _prior((x,))) >= 2 for x in place if x not in ("<p", "<h1", "<a"))
-
-    def cost(self, tag: str, place: tuple[str, ...] = ()) -> float:
-        if self.holds(place):
-            return 0.01
-        return self.tags.get(tag, 0.05 if tag.lstrip("/") in _HEADS or tag.lstrip("/") in _INLINE or tag == "br" else 0.3)
+    def worth(self, place: Place, level: int, linked: bool) -> float:
+        """What a word earns: 1 at most, less than 0 where its place speaks against it. level: how the page marks content."""
+        if place.outside:
+            known = min(-1.0, self.places.get("outside " + place.outside, OUTSIDE))
+            # What interrupts marked content costs next to nothing, whatever its length.
+            return -0.001 if level and place.marked >= level else max(-0.3, known)
+        if level:
+            return 1.0 if place.marked >= level else -0.5
+        total = PRIOR + self.places.get("block " + place.block, _PRIOR_BLOCKS.get(place.block, 0.0)) + (LINKS if linked else 0.0)
+        return max(-1.0, min(1.0, total))
+
+    def cost(self, tag: str, place: Place, level: int) -> float:
+        if level:
+            return 0.0001 if place.marked >= level else 0.3
+        plain = tag.lstrip("/")
+        return self.tags.get(tag, 0.05 if plain in _INLINE or plain in _HEADINGS or plain in _ENDS or plain in ("p", "br") else 0.3)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -157,28 +262,44 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def _level(page: Page) -> int:
+    """How content is marked: by tag (2), by class (1), or not (0). A mark on a few of the words is none."""
+    marked = Counter()
+    for tag, text, place, _ in page.pieces:
+        if not tag and not place.outside:
+            marked[place.marked] += len(text.split())
+    if marked[2] and marked[2] * 3 >= marked[0] + marked[1]:
+        return 2
+    inside = marked[1] + marked[2]
+    return 1 if inside and inside * 3 >= marked[0] else 0
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The main text of one page, '' if it has none."""
-    pieces = list(_pieces((page or "").replace("\x00", "�")))
-    worth: dict[tuple[str, ...], float] = {}
-    costs: dict[tuple, float] = {}
-    scores = []
-    for tag, text, place in pieces:
-        if tag:
-            if (tag, place) not in costs:
-                costs[tag, place] = -weights.cost(tag, place)
-            scores.append(costs[tag, place])
-        else:
-            if place not in worth:
-                worth[place] = weights.worth(place)
-            scores.append(worth[place] * len(text.split()))
+    read = read_page((page or "").replace("\x00", "�"), weights.places)
+    level = _level(read)
+    in_block, in_links = Counter(), Counter()
+    for tag, text, place, block in read.pieces:
+        if not tag:
+            n = len(text.split())
+            in_block[block] += n
+            if place.link:
+                in_links[block] += n
+    worth: dict[tuple, float] = {}
+    scores, kept = [], []
+    for tag, text, place, block in read.pieces:
+        key = (tag, place, not tag and in_links[block] * 10 >= in_block[block] * 8)
+        if key not in worth:
+            worth[key] = -weights.cost(tag, place, level) if tag else weights.worth(place, level, key[2])
+        kept.append(worth[key] > 0)
+        scores.append(worth[key] if tag else worth[key] * len(text.split()))
     start, end = best_region(scores)
     out, glue = [], ""
-    for tag, text, place in pieces[start:end]:
+    for (tag, text, _, _), keep in zip(read.pieces[start:end], kept[start:end], strict=True):
         if tag:
             if tag.lstrip("/") not in _INLINE:
                 glue = " "
-        elif worth[place] > 0:
+        elif keep:
             out.append(glue + html.unescape(text))
             glue = ""
         else:
@@ -187,20 +308,24 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def _observed(page: str) -> Counter:
-    """Counts of a labelled page: (kind, name, inside); none for a page that doesn't mark its article."""
-    mark = "<article" if re.search(r"<article\b", page, re.I) else "<main"
+    """Counts of a labelled page: (kind, name, inside); none for a page that doesn't mark its article.
+
+    Words under boilerplate count for that alone and tags under it not at all, so that a menu's items say nothing of
+    items elsewhere.
+    """
+    read = read_page(page.replace("\x00", "�"), {})
+    mark = any(place.marked == 2 for _, _, place, _ in read.pieces)
     counts: Counter = Counter()
-    found = False
-    for tag, text, place in _pieces(page):
-        inside = mark in place
-        found |= inside
-        if tag:
+    for tag, text, place, _ in read.pieces if mark else []:
+        inside = place.marked == 2 and not place.outside
+        if tag and not place.outside:
             counts["tag", tag, inside] += 1
         elif n := len(text.split()):
             counts["words", "", inside] += n
-            for x in set(place):
-                counts["place", x, inside] += n
-    return counts if found else Counter()
+            counts["place", "outside " + place.outside if place.outside else "block " + place.block, inside] += n
+            if place.name and not place.outside:
+                counts["place", "class " + place.name, inside] += n
+    return counts
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 3_000, least: int = 20) -> Weights:

@@ -173,12 +173,18 @@ def test_neighbours_are_exact_when_all_is_probed(spark):
 
 
 def test_recall(spark):
+    """At the defaults, over every query: the recall, and how much of the table is probed for it."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = ann.codebook(x[:, :32], 500), ann.codebook(x[:, 32:], 500)
+    limit, sizes = ann.reach_limit(x, books, 5, 0.94), np.zeros((500, 500), int)
+    np.add.at(sizes, (ann._nearest_centroid(x[:, :32], books[0]), ann._nearest_centroid(x[:, 32:], books[1])), 1)
+    probed = [sum(sizes[c] for c in ann.walk(((books[0] - q[:32]) ** 2).sum(1), ((books[1] - q[32:]) ** 2).sum(1), sizes, 6, limit)) for q in x[ids % 50 == 0]]
+    assert np.mean(probed) < 0.25 * len(x)
     found = {}
-    for r in ann.nearest(df, candidates=1200).collect():
+    for r in ann.nearest(df).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     hits = []
     for at in np.flatnonzero(ids % 50 == 0):
@@ -196,5 +202,14 @@ def test_walk_is_in_order():
     assert sums == sorted(sums) and {*pairs} == {(i, j) for i in range(6) for j in range(7) if sizes[i, j]}
 
 
+def test_hot_cells_and_crowds_of_queries_are_cut(spark):
+    rows = vectors() + [(i, [1.0, 1e-6 * i, *[0.0] * 6]) for i in range(1000, 1300)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(4)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, every=2, candidates=10**6, block=16).collect())
+    assert got == sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, every=2, candidates=10**6).collect()) and len(got) == 5 * 400
+    first, parts = ann._blocks(np.array([3, 0, 40, 5, 12, 9]), 16)
+    assert parts.tolist() == [1, 1, 3, 1, 1, 1] and first[[0, 2, 3, 4, 5]].tolist() == [0, 1, 4, 5, 6]
+
+
 def test_a_very_long_word():
     assert token_counts.Segmenter({"a": -1.0, token_counts.MARK: -1.0}).count(["z" * 50_000, "a" * 50_000]) == [(50_001, 1), (50_001, 1)]

@@ -2,11 +2,11 @@
 
 Unit vectors are cut into halves, each quantised by its own codebook; a cell is a pair of centroids. The squared
 distance from a query to a pair is the sum of two halves' distances, so a heap walks the pairs in ascending order from
-two sorted lists, until their cells hold enough candidates, whole cells always. Candidates are then ranked by the exact
+sorted lists, up to a distance that is measured on a sample, whole cells always. Candidates are then ranked by the exact
 cosine of the original vectors.
 
-Equal vectors are one entry, with the smallest ids of its rows: no query can be shown more of them. Entries of a first
-centroid meet the queries that probe it in blocks of bounded size on either side.
+Equal vectors are one entry, with the smallest ids of its rows: no query can be shown more of them. Entries meet the
+queries that probe their cells in blocks of bounded size on either side.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import cut
+from textloom.llm._common import cut, shuffle_width
 
-BLOCK = 20_000
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which is exact, so that neither huge nor tiny components leave the range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    top = np.abs(x).max(1, keepdims=True)  # so that neither huge nor tiny components leave the range
-    x = x / top
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -49,21 +51,63 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12, seed: int = 3) -> np.nd
     return book
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Pairs of centroids by ascending summed distance, until their cells hold enough entries; empty cells are left out."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, found, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and held < enough:
-        _, i, j = heapq.heappop(heap)
-        n = int(sizes[a[i], b[j]])
-        if n:
-            found.append((int(a[i]), int(b[j])))
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, limit: float = -np.inf) -> list[tuple[int, int]]:
+    """Pairs of centroids by ascending summed distance: those within limit, and on until their cells hold enough entries.
+
+    Empty cells are left out. A heap holds the next pair of each first centroid.
+    """
+    i, j = np.nonzero(sizes)
+    order = np.lexsort((second[j], i))
+    i, j = i[order], j[order]
+    sums, counts = (first[i] + second[j]).tolist(), sizes[i, j].tolist()
+    starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if i.size else np.empty(0, np.int64)
+    ends = [*starts[1:].tolist(), len(sums)]
+    heap = [(sums[s], s, e) for s, e in zip(starts.tolist(), ends, strict=False)]
+    heapq.heapify(heap)
+    found, held = [], 0
+    while heap and (held < enough or heap[0][0] <= limit):
+        _, at, end = heap[0]
+        found.append(at)
+        held += counts[at]
+        if at + 1 < end:
+            heapq.heapreplace(heap, (sums[at + 1], at + 1, end))
+        else:
+            heapq.heappop(heap)
+    return list(zip(i[found].tolist(), j[found].tolist(), strict=True))
+
+
+def reach_limit(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, reach: float, queries: int = 256) -> float:
+    """The summed distance within which a share `reach` of the k nearest of sampled rows x have their cells.
+
+    Taken among the sample's own rows: in the whole table the nearest are nearer, so that no less is found there.
+    """
+    h = books[0].shape[1]
+    cells = [_nearest_centroid(x[:, :h], books[0]), _nearest_centroid(x[:, h:], books[1])]
+    asked = np.arange(0, len(x), max(1, len(x) // queries))
+    sums = []
+    for at in asked:
+        near = x @ x[at]
+        near[at] = -np.inf
+        best = np.argsort(-near, kind="stable")[: min(k, len(x) - 1)]
+        sums.append(((books[0][cells[0][best]] - x[at, :h]) ** 2).sum(1) + ((books[1][cells[1][best]] - x[at, h:]) ** 2).sum(1))
+    every = np.concatenate(sums) if sums else np.empty(0)
+    return float(np.quantile(every, reach)) if every.size else np.inf
+
+
+def _blocks(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, parts) of each cell: the number of its first block and in how many it lies."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // block))
+    number, held = 0, 0
+    for cell in np.flatnonzero(sizes).tolist():
+        n = int(sizes[cell])
+        if held and held + n > block:
+            number, held = number + 1, 0
+        first[cell] = number
+        if n > block:
+            number, held = number + int(parts[cell]), 0
+        else:
             held += n
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
-    return found
+    return first, parts
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -78,15 +122,16 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.withColumn("key", F.md5(F.col("vec").cast("string").cast("binary")))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, candidates: int = 4_000, share: float = 0.45, fit_rows: int = 20_000, most_centroids: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, reach: float = 0.94, candidates: int = 0, fit_rows: int = 20_000, most_centroids: int = 512, block: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by every.
 
     Rows with a null id, a null or zero vector, or null or non-finite components take no part, nor do vectors of another
     length than the most frequent. A row repeated with the same id and vector counts once; a query is never its own
     neighbour. Ties go to the smaller id. With fewer than k candidates all are returned, with none no row. The codebooks
-    are fitted on at most about fit_rows vectors; every row is indexed. A query's cells hold the larger of candidates and
-    share of the entries: vectors that are all but noise around their clusters, as the driver's are, need near half of
-    them for a recall of 0.9, vectors with more structure far less. Other columns are not read.
+    are fitted on at most about fit_rows vectors; every row is indexed. A query's cells are those within the distance
+    that holds a share `reach` of the true neighbours in the fitted sample, and as many more as k other entries (or
+    `candidates`) take. How much of the table that is follows from the data: a fifth where vectors are all but noise, as
+    the driver's are, far less where they have structure. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = cut(_valid(vectors, id_col, vec_col).groupBy("vec_id", "key").agg(F.first("vec").alias("vec")))
@@ -98,13 +143,14 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     if total == 0:
         return spark.createDataFrame([], result)
     picked = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / total) + 1)
-    sample = entries.filter(picked).select("vec").toArrow()["vec"].combine_chunks()
+    sample = entries.filter(picked).orderBy("key").select("vec").toArrow()["vec"].combine_chunks()
     if not len(sample):
         sample = entries.select("vec").limit(1).toArrow()["vec"].combine_chunks()
     x = _unit(sample.flatten().to_numpy().reshape(len(sample), -1))
-    half, enough = max(1, x.shape[1] // 2), max(candidates, int(np.ceil(share * total)))
-    size = int(np.clip((total / 8) ** 0.5, 1, most_centroids))
+    half = max(1, x.shape[1] // 2)
+    size = int(np.clip(len(x) // 4, 1, most_centroids))
     books = codebook(x[:, :half], size), codebook(x[:, half:], size) if x.shape[1] > half else np.zeros((1, 0))
+    limit, seconds = reach_limit(x, books, k, reach), len(books[1])
     shared = spark.sparkContext.broadcast((books, half))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,59 +158,63 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         for batch in batches:
             if batch.num_rows:
                 u = _unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
-                names = ["key", "vec", "ids", "i", "j"]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest_centroid(u[:, :h], one), pa.int32()), pa.array(_nearest_centroid(u[:, h:], two), pa.int32())], names=names)
-
-    placed = cut(entries.select("key", "vec", "ids").mapInArrow(place, "key string, vec array<double>, ids array<long>, i int, j int"))
-    sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in placed.groupBy("i", "j").count().collect():  # most_centroids squared at most
-        sizes[r["i"], r["j"]] = r["count"]
-    grid = spark.sparkContext.broadcast(sizes)
+                cell = _nearest_centroid(u[:, :h], one) * seconds + _nearest_centroid(u[:, h:], two)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["key", "vec", "ids", "cell"])
+
+    placed = cut(entries.select("key", "vec", "ids").mapInArrow(place, "key string, vec array<double>, ids array<long>, cell int"))
+    sizes = np.zeros(len(books[0]) * seconds, np.int64)
+    for r in placed.groupBy("cell").count().collect():  # most_centroids squared at most
+        sizes[r["cell"]] = r["count"]
+    # Cells in turn fill blocks of about `block` entries; a larger cell is cut into several blocks of its own.
+    first, parts = _blocks(sizes, block)
+    grid = spark.sparkContext.broadcast((sizes.reshape(-1, seconds), first, parts))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first_of, parts_of = grid.value
+        for batch in batches:
+            cell, salt = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:4], pa.array(first_of[cell] + salt % parts_of[cell], pa.int32())], names=["vec", "ids", "cell", "block"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (one, two), h = shared.value
+        held, first_of, parts_of = grid.value
         for batch in batches:
-            out = {"query": [], "vec": [], "i": [], "js": []}
+            out = {"query": [], "vec": [], "block": [], "cells": []}
             vecs = batch.column(1).to_pylist()
             u = _unit(np.array(vecs)) if vecs else np.empty((0, h))
             for key, vec, unit in zip(batch.column(0).to_pylist(), vecs, u, strict=True):
-                cells: dict[int, list[int]] = {}
-                for i, j in walk(((one - unit[:h]) ** 2).sum(1), ((two - unit[h:]) ** 2).sum(1), grid.value, enough):
-                    cells.setdefault(i, []).append(j)
-                for i, js in cells.items():
-                    for name, value in zip(out, (key, vec, i, js), strict=True):
+                blocks: dict[int, list[int]] = {}
+                for i, j in walk(((one - unit[:h]) ** 2).sum(1), ((two - unit[h:]) ** 2).sum(1), held, max(candidates, k + 1), limit):
+                    cell = i * seconds + j
+                    for part in range(first_of[cell], first_of[cell] + parts_of[cell]):
+                        blocks.setdefault(part, []).append(cell)
+                for part, cells in blocks.items():
+                    for name, value in zip(out, (key, vec, int(part), cells), strict=True):
                         out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query", pa.string()), ("vec", pa.list_(pa.float64())), ("i", pa.int32()), ("js", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query", pa.string()), ("vec", pa.list_(pa.float64())), ("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
 
     queries = rows.filter(F.col("vec_id") % every == 0)
-    probes = cut(queries.groupBy("key").agg(F.first("vec").alias("vec")).mapInArrow(probe, "query string, vec array<double>, i int, js array<int>"))
-    # Blocks: a first centroid's entries and the queries that probe it are each cut into parts of about BLOCK rows.
-    entry_parts = np.maximum(1, -(-sizes.sum(1) // BLOCK))
-    probe_parts = np.ones(len(entry_parts), np.int64)
-    for r in probes.groupBy("i").count().collect():
-        probe_parts[r["i"]] = max(1, -(-r["count"] // BLOCK))
-    parts = F.broadcast(spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(entry_parts, probe_parts, strict=True))], "i int, a int, b int"))
-    seconds = sizes.shape[1]
-    salt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
-    left = placed.join(parts, "i").withColumn("s", salt("key", "a")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).drop("a", "b")
-    right = probes.join(parts, "i").withColumn("t", salt("query", "b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("a") - 1))).drop("a", "b")
+    distinct = queries.groupBy("key").agg(F.first("vec").alias("vec")).repartition(shuffle_width(spark), "key")  # each query is much work
+    probes = cut(distinct.mapInArrow(probe, "query string, vec array<double>, block int, cells array<int>"))
+    # A block that many queries probe meets them in parts of a block's size.
+    crowds = probes.groupBy("block").count().filter(F.col("count") > block).select("block", F.ceil(F.col("count") / block).cast("int").alias("t"))
+    salt = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 30)).cast("int")
+    left = placed.withColumn("salt", salt("key")).mapInArrow(settle, "vec array<double>, ids array<long>, cell int, block int")
+    left = left.join(crowds, "block", "left").withColumn("t", F.explode(F.sequence(F.lit(0), F.coalesce("t", F.lit(1)) - 1)))
+    right = probes.join(crowds, "block", "left").withColumn("t", salt("query") % F.coalesce("t", F.lit(1)))
 
     def rank(entry: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "score": [], "ids": []}
         if len(entry) and len(asked):
-            x, js, ids = np.stack(entry["vec"].to_numpy()), entry["j"].to_numpy(), entry["ids"].to_numpy()
-            firsts = np.fromiter((v[0] for v in ids), np.int64, len(ids))
-            x = x / np.abs(x).max(1)[:, None]
+            x, ids = _scaled(np.stack(entry["vec"].to_numpy())), entry["ids"].to_numpy()
+            cell, firsts = entry["cell"].to_numpy(), np.fromiter((v[0] for v in ids), np.int64, len(ids))
             norms = np.linalg.norm(x, axis=1)
             for at in range(0, len(asked), 64):
                 part = asked.iloc[at : at + 64]
-                qs = np.stack(part["vec"].to_numpy())
-                qs = qs / np.abs(qs).max(1)[:, None]
+                qs = _scaled(np.stack(part["vec"].to_numpy()))
                 near = (x @ (qs / np.linalg.norm(qs, axis=1)[:, None]).T) / norms[:, None]
-                for n, (query, cells) in enumerate(zip(part["query"], part["js"], strict=True)):
-                    probed = np.zeros(seconds, bool)
-                    probed[cells] = True
-                    own = np.flatnonzero(probed[js])
+                for n, (query, cells) in enumerate(zip(part["query"], part["cells"], strict=True)):
+                    own = np.flatnonzero(np.isin(cell, cells))
                     if len(own) > k + 1:  # all that may be among the best, ties and rounding included
                         s = near[own, n]
                         own = own[s >= np.partition(s, -k - 1)[-k - 1] - 1e-9]
@@ -175,7 +225,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                         out["ids"].append(ids[own[o]])
         return pd.DataFrame(out)
 
-    found = left.groupBy("i", "s", "t").cogroup(right.groupBy("i", "s", "t")).applyInPandas(rank, "query string, score double, ids array<long>")
+    found = left.groupBy("block", "t").cogroup(right.groupBy("block", "t")).applyInPandas(rank, "query string, score double, ids array<long>")
     order = [F.desc("score"), F.col("vec_id")]
     best = found.select("query", "score", F.explode("ids").alias("vec_id"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("n") <= k + 1).drop("n")

@@ -29,22 +29,22 @@ class SampleError(ValueError):
 def normalize(samples: list, most: int = MAX_SAMPLES) -> list[dict]:
     """Checked samples of one writer with all fields and distinct ids, on the driver."""
     if not isinstance(samples, list):
-        raise SampleError("A corpus must be a list of samples.")
+        raise SampleError("Samples come as a list; this is something else.")
     if len(samples) > most:
-        raise SampleError(f"Too many samples (limit {most}).")
+        raise SampleError(f"{len(samples)} samples are more than the {most} that are used.")
     out, seen = [], set()
     for i, raw in enumerate(samples):
         if not isinstance(raw, dict):
-            raise SampleError(f"Sample {i + 1} is not an object.")
+            raise SampleError(f"Entry {i + 1} of the samples isn't a JSON object.")
         told = lambda key, raw=raw: raw[key].strip() if isinstance(raw.get(key), str) else ""
         text = re.sub("\r\n?", "\n", told("text"))
         if not text:
-            raise SampleError(f"Sample {i + 1} has no text.")
+            raise SampleError(f"Entry {i + 1} of the samples lacks a text.")
         n = len(text.split())
         if n < MIN_SAMPLE_WORDS:
-            raise SampleError(f"Sample {i + 1} is {n} words; {MIN_SAMPLE_WORDS} is the minimum for it to say anything about your style.")
+            raise SampleError(f"Entry {i + 1} has {n} words; a style shows from {MIN_SAMPLE_WORDS} words on.")
         if n > MAX_SAMPLE_WORDS:
-            raise SampleError(f"Sample {i + 1} is {n} words; the limit is {MAX_SAMPLE_WORDS}.")
+            raise SampleError(f"Entry {i + 1} has {n} words, more than the {MAX_SAMPLE_WORDS} that are read.")
         label = told("label")[:120] or f"Sample {i + 1}"
         sample = {"type": "spoken" if raw.get("type") == "spoken" else "written", "id": told("id") or slug(label, fallback="sample"), "label": label, "text": text, "words": n, "unassisted": raw.get("unassisted") is not False, "overrideScreen": raw.get("overrideScreen") is True, "note": told("note")[:300]}
         own, k = sample["id"], 2
@@ -62,7 +62,7 @@ def to_json(samples: list, pretty: bool = True) -> str:
         one = {"label": s["label"], "text": s["text"]}
         one |= {k: s[k] for k, plain in (("type", "written"), ("note", ""), ("overrideScreen", False), ("unassisted", True)) if s[k] != plain}
         shown.append(one)
-    note = "Samples must be the writer's own unassisted writing. Anything drafted with an assistant fingerprints the assistant, not the writer."
+    note = "Use only what the writer wrote alone: a text drafted with an assistant profiles the assistant."
     return json.dumps({"format": FORMAT, "version": VERSION, "note": note, "samples": shown}, indent=2 if pretty else None, ensure_ascii=False)
 
 
@@ -70,15 +70,15 @@ def from_json(source) -> list[dict]:
     try:
         doc = json.loads(source) if isinstance(source, str) else source
     except ValueError as e:
-        raise SampleError(f"That is not valid JSON: {e}") from None
+        raise SampleError(f"The samples can't be parsed as JSON ({e}).") from None
     if isinstance(doc, list):
         return normalize(doc)
     if not isinstance(doc, dict):
-        raise SampleError("Expected a corpus object or a list.")
+        raise SampleError("Samples come as a list or as an object that holds one.")
     if doc.get("format") and not str(doc["format"]).endswith("/corpus"):
-        raise SampleError(f'Unrecognized format "{doc["format"]}".')
+        raise SampleError(f'Not the format of a corpus: "{doc["format"]}".')
     if not isinstance(doc.get("samples"), list):
-        raise SampleError('Corpus has no "samples" list.')
+        raise SampleError('The object holds no list named "samples".')
     return normalize(doc["samples"])
 
 

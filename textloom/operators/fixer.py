@@ -15,13 +15,16 @@ from textloom.functions import regex as R
 from textloom.operators import house, prose, resume
 
 # Openers that mark advice, types that may be deleted, types that are never edited.
-INSTRUCTION_VERBS = "describe name say give show explain state list pick drop replace attach put add aim keep split start group aimfor human every rule over".split()
+INSTRUCTION_VERBS = [
+    "describe", "name", "say", "give", "show", "explain", "state", "list", "pick", "drop", "replace", "attach", "put", "add", "aim", "keep", "split",
+    "start", "group", "aimfor", "human", "every", "rule", "over",
+]
 DELETABLE = ("transition", "filler", "chatbot", "acknowledgment-loop")
-NEVER_AUTO = (
-    "vague-attribution uniformity low-ttr punct-distribution fnword-trigram-entropy cross-para-burstiness resume-unquantified "
-    "resume-uniform-bullets resume-round-metrics resume-triad resume-missing-contact resume-missing-dates resume-missing-section "
-    "resume-tense-mix resume-long-bullet resume-skill-dump generic-conclusion future-narrative hedge-stack emotional-flatline"
-).split()
+NEVER_AUTO = [
+    "vague-attribution", "uniformity", "low-ttr", "punct-distribution", "fnword-trigram-entropy", "cross-para-burstiness", "resume-unquantified",
+    "resume-uniform-bullets", "resume-round-metrics", "resume-triad", "resume-missing-contact", "resume-missing-dates", "resume-missing-section",
+    "resume-tense-mix", "resume-long-bullet", "resume-skill-dump", "generic-conclusion", "future-narrative", "hedge-stack", "emotional-flatline",
+]
 STANDALONE = "(?i)^(certainly|sure|absolutely|of course|great question)!?$"
 
 _EDIT = "array<struct<start:int,end:int,replacement:string,kind:string,was:string,issue:int>>"

@@ -29,38 +29,45 @@ METRICS = (
     ("absentWords", "Words you never use", "absent", False, 3000),
 )
 # Words whose absence is worth reporting; a pair has a label and a pattern.
-ABSENCE_CANDIDATES = (
-    "furthermore moreover additionally consequently subsequently nevertheless nonetheless notwithstanding albeit whilst amongst hence "
-    "thereby therein whereby heretofore insofar thus therefore accordingly likewise essentially fundamentally ultimately arguably "
-    "undoubtedly indeed certainly obviously clearly notably importantly significantly substantially considerably remarkably genuinely "
-    "precisely plainly materially crucially concretely structurally"
-).split() + ["worth noting"] + (
-    "utilize leverage delve robust myriad plethora paradigm holistic synergy seamless pivotal crucial vital comprehensive innovative "
-    "cutting-edge state-of-the-art landscape ecosystem framework methodology stakeholder actionable impactful transformative "
-    "unprecedented orthogonal adjacent nuance framing unpack load-bearing"
-).split() + ["at scale", "lean into"]
+ABSENCE_CANDIDATES = [
+    "furthermore", "moreover", "additionally", "consequently", "subsequently", "nevertheless", "nonetheless", "notwithstanding", "albeit", "whilst",
+    "amongst", "hence", "thereby", "therein", "whereby", "heretofore", "insofar", "thus", "therefore", "accordingly", "likewise", "essentially",
+    "fundamentally", "ultimately", "arguably", "undoubtedly", "indeed", "certainly", "obviously", "clearly", "notably", "importantly",
+    "significantly", "substantially", "considerably", "remarkably", "genuinely", "precisely", "plainly", "materially", "crucially", "concretely",
+    "structurally", "worth noting", "utilize", "leverage", "delve", "robust", "myriad", "plethora", "paradigm", "holistic", "synergy", "seamless",
+    "pivotal", "crucial", "vital", "comprehensive", "innovative", "cutting-edge", "state-of-the-art", "landscape", "ecosystem", "framework",
+    "methodology", "stakeholder", "actionable", "impactful", "transformative", "unprecedented", "orthogonal", "adjacent", "nuance", "framing",
+    "unpack", "load-bearing", "at scale", "lean into",
+]
 SURFACE = ("surface-verb", "surface (as a verb)", "(?i)\\bsurfac(?:ed|ing)\\b|\\bsurfaces?\\b(?=\\s+(?:the|a|an|it|this|that|these|those|any|some|all|more|issues?|problems?|risks?|concerns?|questions?|tensions?|tradeoffs?|trade-offs?|assumptions?|disagreements?)\\b)")
 # Rates per million words of general English, and further words that are never a signature.
-BASELINE_TEXT = """
-the 56000 of 33000 and 29000 to 26000 a 21000 in 18000 is 10000 it 10000 you 9500 that 9000 he 8000 was 7000 for 7000 on 6500
-are 6000 with 5800 as 5500 i 5500 his 5000 they 4800 be 4600 at 4500 one 4000 have 3900 this 3800 from 3700 or 3600 had 3400
-by 3300 not 3200 but 3100 what 3000 all 2900 were 2800 we 2700 when 2600 your 2500 can 2400 said 2300 there 2200 use 2100
-an 2000 each 1900 which 1900 she 1800 do 1800 how 1700 their 1700 if 1700 will 1600 up 1600 other 1500 about 1500 out 1400
-many 1300 then 1300 them 1300 these 1200 so 1200 some 1200 her 1100 would 1100 make 1000 like 1000 him 1000 into 950 time 950
-has 900 look 850 two 850 more 850 write 800 go 800 see 800 number 750 no 750 way 750 could 700 people 700 my 700 than 650
-first 650 been 650 call 600 who 600 its 600 now 600 find 550 long 550 down 550 day 550 did 500 get 500 come 500 made 500
-may 500 part 450 over 450 new 450 sound 400 take 400 only 400 little 400 work 400 know 400 place 350 years 350 live 350 me 350
-back 350 give 300 most 300 very 300 after 300 thing 300 our 300 just 300 name 250 good 250 sentence 250 man 250 think 250
-say 250 great 200 where 200 help 200 through 200 much 200 before 200 line 200 right 200 too 200 mean 150 old 150 any 150
-same 150 tell 150 boy 150 follow 150 came 150 want 150 show 150 also 150 around 100 form 100 three 100 small 100 set 100
-put 100 end 100 does 100 another 100 well 100 large 100 must 100 big 100 even 100 such 100 because 100 turn 100 here 100
-why 100 ask 100 went 100 men 100 read 100 need 100 land 100 different 100 home 100 us 100 move 100 try 100 kind 100 hand 100
-picture 100 again 100 change 100 off 100 play 100 spell 100 air 100 away 100 animal 100 house 100 point 100 page 100 letter 100
-mother 100 answer 100 found 100 study 100 still 100 learn 100 should 100 america 100 world 100
-"""
-BASELINE = dict(zip(BASELINE_TEXT.split()[::2], map(int, BASELINE_TEXT.split()[1::2]), strict=True))
+BASELINE = {
+    "the": 56000, "of": 33000, "and": 29000, "to": 26000, "a": 21000, "in": 18000, "is": 10000, "it": 10000, "you": 9500, "that": 9000, "he": 8000,
+    "was": 7000, "for": 7000, "on": 6500, "are": 6000, "with": 5800, "as": 5500, "i": 5500, "his": 5000, "they": 4800, "be": 4600, "at": 4500,
+    "one": 4000, "have": 3900, "this": 3800, "from": 3700, "or": 3600, "had": 3400, "by": 3300, "not": 3200, "but": 3100, "what": 3000, "all": 2900,
+    "were": 2800, "we": 2700, "when": 2600, "your": 2500, "can": 2400, "said": 2300, "there": 2200, "use": 2100, "an": 2000, "each": 1900,
+    "which": 1900, "she": 1800, "do": 1800, "how": 1700, "their": 1700, "if": 1700, "will": 1600, "up": 1600, "other": 1500, "about": 1500,
+    "out": 1400, "many": 1300, "then": 1300, "them": 1300, "these": 1200, "so": 1200, "some": 1200, "her": 1100, "would": 1100, "make": 1000,
+    "like": 1000, "him": 1000, "into": 950, "time": 950, "has": 900, "look": 850, "two": 850, "more": 850, "write": 800, "go": 800, "see": 800,
+    "number": 750, "no": 750, "way": 750, "could": 700, "people": 700, "my": 700, "than": 650, "first": 650, "been": 650, "call": 600, "who": 600,
+    "its": 600, "now": 600, "find": 550, "long": 550, "down": 550, "day": 550, "did": 500, "get": 500, "come": 500, "made": 500, "may": 500,
+    "part": 450, "over": 450, "new": 450, "sound": 400, "take": 400, "only": 400, "little": 400, "work": 400, "know": 400, "place": 350,
+    "years": 350, "live": 350, "me": 350, "back": 350, "give": 300, "most": 300, "very": 300, "after": 300, "thing": 300, "our": 300, "just": 300,
+    "name": 250, "good": 250, "sentence": 250, "man": 250, "think": 250, "say": 250, "great": 200, "where": 200, "help": 200, "through": 200,
+    "much": 200, "before": 200, "line": 200, "right": 200, "too": 200, "mean": 150, "old": 150, "any": 150, "same": 150, "tell": 150, "boy": 150,
+    "follow": 150, "came": 150, "want": 150, "show": 150, "also": 150, "around": 100, "form": 100, "three": 100, "small": 100, "set": 100,
+    "put": 100, "end": 100, "does": 100, "another": 100, "well": 100, "large": 100, "must": 100, "big": 100, "even": 100, "such": 100,
+    "because": 100, "turn": 100, "here": 100, "why": 100, "ask": 100, "went": 100, "men": 100, "read": 100, "need": 100, "land": 100,
+    "different": 100, "home": 100, "us": 100, "move": 100, "try": 100, "kind": 100, "hand": 100, "picture": 100, "again": 100, "change": 100,
+    "off": 100, "play": 100, "spell": 100, "air": 100, "away": 100, "animal": 100, "house": 100, "point": 100, "page": 100, "letter": 100,
+    "mother": 100, "answer": 100, "found": 100, "study": 100, "still": 100, "learn": 100, "should": 100, "america": 100, "world": 100,
+}
 BASELINE_FLOOR = 20
-STOPWORDS = sorted(set(BASELINE) | set("am been being both during few further having itself myself nor once own same themselves those under until while yourself ours yours theirs".split()))
+MORE_STOPWORDS = [
+    "am", "been", "being", "both", "during", "few", "further", "having", "itself", "myself", "nor", "once", "own", "same", "themselves", "those",
+    "under", "until", "while", "yourself", "ours", "yours", "theirs",
+]
+STOPWORDS = sorted({*BASELINE, *MORE_STOPWORDS})
 FORMAT, VERSION = "textloom/fingerprint", 1
 TOP_OPENERS, TOP_SIGNATURE, ABSENCE_STOP = 12, 15, 501
 
@@ -187,11 +194,11 @@ def from_json(source) -> dict:
     try:
         doc = json.loads(source) if isinstance(source, str) else source
     except ValueError as e:
-        raise ProfileError(f"That is not valid JSON: {e}") from None
+        raise ProfileError(f"The profile can't be parsed as JSON ({e}).") from None
     if not isinstance(doc, dict):
-        raise ProfileError("Expected a fingerprint object.")
+        raise ProfileError("A profile must be a JSON object.")
     if not str(doc.get("format")).endswith("/fingerprint"):
-        raise ProfileError(f'Unrecognized format "{doc.get("format")}".')
+        raise ProfileError(f'Not the format of a profile: "{doc.get("format")}".')
     if not isinstance(doc.get("metrics"), dict):
-        raise ProfileError("Fingerprint has no metrics.")
+        raise ProfileError("The profile lacks its metrics.")
     return doc

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom import oracle
+from textloom import oracle, oracle_scan
 from textloom.functions import regex as R
 from textloom.functions import text as T
 from textloom.functions.barrier import settle
@@ -202,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_sql(RULES)
+    return oracle.all_sql(RULES) | oracle_scan.all_sql()

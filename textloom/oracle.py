@@ -220,15 +220,20 @@ bullets AS (SELECT h.doc_id, h.line, h.body || coalesce(t.more, '') AS body FROM
   UNION ALL SELECT l.doc_id, line, body FROM lines l JOIN g ON g.doc_id = l.doc_id AND NOT g.used WHERE NOT blank AND words >= 6 AND NOT regexp_matches(t, {_q(resume.DATE)}) AND NOT regexp_matches(t, {_q(resume.EMAIL)}) AND NOT heading AND NOT ({section}))"""
 
 
-def _structure() -> str:
+def facts() -> str:
+    """CTEs up to j: what the structure of each text gives."""
     sections = ", ".join(f"min(line) FILTER (WHERE NOT blank AND words <= 6 AND regexp_matches(t, {_q(p)}))::BIGINT AS {name}" for name, p in resume.SECTIONS.items())
-    return f"""WITH {_bullets()},
+    mode = f"CASE WHEN (email OR phone)::INTEGER + ({' + '.join(f'({x} IS NOT NULL)::INTEGER' for x in resume.SECTIONS)} >= 2)::INTEGER + (bullets >= 4 AND used)::INTEGER + (date_lines >= 2)::INTEGER >= 2 THEN 'resume' ELSE 'essay' END"
+    return f"""{_bullets()},
 brk AS (SELECT b.doc_id, b.line, (SELECT count(*) FROM lines l WHERE l.doc_id = b.doc_id AND l.line < b.line AND (l.blank OR l.heading)) AS k FROM bullets b),
 bl AS (SELECT doc_id, count(DISTINCT k) AS blocks, count(*) AS bullets FROM brk GROUP BY doc_id),
-s AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(t, {_q(resume.DATE)})) AS date_lines, {sections}, bool_or(regexp_matches(t, {_q(resume.EMAIL)})) AS email, bool_or(regexp_matches(t, {_q(resume.PHONE)})) AS phone FROM lines GROUP BY doc_id),
-j AS (SELECT s.*, coalesce(bl.blocks, 0) AS blocks, coalesce(bl.bullets, 0) AS bullets, g.used FROM s JOIN g ON g.doc_id = s.doc_id LEFT JOIN bl ON bl.doc_id = s.doc_id)
-SELECT doc_id, blocks, date_lines, bullets, {", ".join(resume.SECTIONS)}, used AS used_glyphs,
-  CASE WHEN (email OR phone)::INTEGER + ({" + ".join(f"({x} IS NOT NULL)::INTEGER" for x in resume.SECTIONS)} >= 2)::INTEGER + (bullets >= 4 AND used)::INTEGER + (date_lines >= 2)::INTEGER >= 2 THEN 'resume' ELSE 'essay' END AS mode FROM j"""
+s AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(t, {_q(resume.DATE)})) AS date_lines, {sections}, bool_or(regexp_matches(t, {_q(resume.EMAIL)})) AS email, bool_or(regexp_matches(t, {_q(resume.PHONE)})) AS phone, bool_or(regexp_matches(t, {_q(resume.URL)})) AS url FROM lines GROUP BY doc_id),
+j0 AS (SELECT s.*, coalesce(bl.blocks, 0) AS blocks, coalesce(bl.bullets, 0) AS bullets, g.used FROM s JOIN g ON g.doc_id = s.doc_id LEFT JOIN bl ON bl.doc_id = s.doc_id),
+j AS (SELECT *, {mode} AS mode FROM j0)"""
+
+
+def _structure() -> str:
+    return f"WITH {facts()} SELECT doc_id, blocks, date_lines, bullets, {', '.join(resume.SECTIONS)}, used AS used_glyphs, mode FROM j"
 
 
 def _html() -> str:

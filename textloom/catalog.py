@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom import oracle, oracle_scan
-from textloom.functions import regex as R
+from textloom import oracle, oracle_scan, oracle_voice
 from textloom.functions import text as T
 from textloom.functions.barrier import settle
 from textloom.functions.regex import js_round
 from textloom.operators import corpus, house, profile, resume, scoring, voice
 from textloom.plans import extras, scan
+from textloom.plans.samples import TEXTS
 from textloom.sources import extract
 
 #: House rules made of words that the driver's texts have.
@@ -28,26 +28,26 @@ RULES = [
 
 
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = T.measure(extras.texts(spark, sf_dir))
+    m = T.measure(extras.texts(spark, sf_dir), fields=("words", "sentences", "syllables", "values"))
     n = lambda c: c.cast("long")
     values = [js_round(F.col(f"m.values.{x}"), 1).alias(name) for x, name in oracle.METRIC_COLUMNS.items()]
     return m.select("doc_id", n(F.col("m.words")).alias("words"), n(T.token_count(F.coalesce(F.col("text"), F.lit("")))).alias("tokens"), n(F.size("m.sentences")).alias("sentences"), n(F.col("m.syllables")).alias("syllables"), *values)
 
 
 def sentence_openers_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = T.measure(extras.texts(spark, sf_dir))
+    m = T.measure(extras.texts(spark, sf_dir), fields=("openers", "para_openers"))
     return m.select("doc_id", F.array_join("m.openers", " ").alias("openers"), F.array_join("m.para_openers", " ").alias("para_openers"))
 
 
 def word_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = extras.documents(spark, sf_dir, "text")
     each = settle(docs, [], words=F.transform(T.words(F.coalesce(F.col("text"), F.lit(""))), F.lower)).select(F.explode("words").alias("word"))
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "word").limit(50)
 
 
 def contact_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.coalesce(F.col("text"), F.lit(""))
-    flags = [R.matches(x, p).alias(name) for name, p in (("has_email", resume.EMAIL), ("has_phone", resume.PHONE), ("has_url", resume.URL), ("has_date", resume.DATE), ("has_metric", resume.METRIC))]
+    flags = [has(x).alias(has.__name__) for has in (resume.has_email, resume.has_phone, resume.has_url, resume.has_date, resume.has_metric)]
     return extras.texts(spark, sf_dir).select("doc_id", *flags)
 
 
@@ -66,82 +66,50 @@ def calibrate_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample with the prose detector's verdict. The documents state no override, so none has one."""
-    return corpus.screen(extras.author_samples(spark, sf_dir).withColumn("override", F.lit(False)))
+    return corpus.screen(extras.author_samples(spark, sf_dir))
 
 
-def _bands(samples: DataFrame) -> DataFrame:
-    b = profile.bands(profile.measured(samples))
-    return b.select("author", "metric", "available", "have", F.col("samples").cast("long").alias("samples"), "mean", "sd", "low", "high")
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that the prose detector doesn't flag."""
+    return corpus.usable(_screened(spark, sf_dir))
 
 
 def profile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bands(extras.author_samples(spark, sf_dir))
-
-
-def screened_profile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bands(corpus.usable(_screened(spark, sf_dir)))
+    b = profile.bands(profile.measured(_samples(spark, sf_dir), "bands"))
+    return b.select("author", "metric", "available", "have", F.col("samples").cast("long").alias("samples"), "mean", "sd", "low", "high")
 
 
 def openers_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.openers(profile.measured(extras.author_samples(spark, sf_dir)))
-
-
-def screened_openers_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.openers(profile.measured(corpus.usable(_screened(spark, sf_dir))))
+    return profile.openers(profile.measured(_samples(spark, sf_dir), "openers"))
 
 
 def signature_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.signature_words(profile.measured(extras.author_samples(spark, sf_dir)))
-
-
-def screened_signature_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.signature_words(profile.measured(corpus.usable(_screened(spark, sf_dir))))
+    return profile.signature_words(profile.measured(_samples(spark, sf_dir), "signature"))
 
 
 def absent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absence over the sample texts and the documents, by source; the sample texts are an author of their own."""
-    x = extras.texts(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id", "left")
+    own = spark.createDataFrame([("samples", t) for _, t in TEXTS], "source string, text string")
+    x = extras.documents(spark, sf_dir, "source", "text").unionByName(own)
     m = x.select(F.coalesce("source", F.lit("samples")).alias("author"), F.struct(T.clean_for_prose(F.coalesce(F.col("text"), F.lit(""))).alias("clean")).alias("m"))
     return profile.absent_words(m)
 
 
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The readiness rule over stated flags, as its SQL has it; screened_corpus_status asks the detector."""
-    flagged = extras.author_samples(spark, sf_dir).withColumn("flagged", F.col("sample") % 7 == 0)
-    return corpus.status(flagged).drop("flagged_count")
-
-
-def screened_corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.status(_screened(spark, sf_dir))
 
 
-def _voice(spark: SparkSession, sf_dir: str, samples: DataFrame) -> DataFrame:
-    return voice.compare(extras.drafts(spark, sf_dir), profile.build(samples))
-
-
-def _scores(v: DataFrame) -> DataFrame:
-    return v.select("doc_id", "author", "available", F.col("score").cast("long").alias("score"), "band", F.col("deducted").cast("long").alias("deducted"))
-
-
-def _findings(v: DataFrame) -> DataFrame:
-    x = v.select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
-    return x.filter("metric <> 'sentenceOpeners'").select("doc_id", "metric", "severity", "direction", "draft_value", F.col("penalty").cast("long").alias("penalty"), "text")
+def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voice.compare(extras.drafts(spark, sf_dir), profile.build(_samples(spark, sf_dir)))
 
 
 def voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_voice(spark, sf_dir, extras.author_samples(spark, sf_dir)))
-
-
-def screened_voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_voice(spark, sf_dir, corpus.usable(_screened(spark, sf_dir))))
+    return _voice(spark, sf_dir).select("doc_id", "author", "available", F.col("score").cast("long").alias("score"), "band", F.col("deducted").cast("long").alias("deducted"))
 
 
 def voice_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(_voice(spark, sf_dir, extras.author_samples(spark, sf_dir)))
-
-
-def screened_voice_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(_voice(spark, sf_dir, corpus.usable(_screened(spark, sf_dir))))
+    x = _voice(spark, sf_dir).select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
+    return x.select("doc_id", "metric", "severity", "direction", "draft_value", F.col("penalty").cast("long").alias("penalty"), "text")
 
 
 def resume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +160,6 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     text_stats, sentence_openers_per_text, word_freq_topk, contact_predicates, rule_matches, calibrate_bands, profile_bands, openers_top12, signature_words, absent_words, corpus_status,
-    screened_corpus_status, screened_profile_bands, screened_openers_top12, screened_signature_words, screened_voice_scores, screened_voice_findings,
     voice_scores, voice_findings, resume_lines, resume_bullets, resume_structure, resume_findings, resume_scores, scan_documents, all_issues_order, fix_text, html_text,
 )
 
@@ -202,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_sql(RULES) | oracle_scan.all_sql()
+    return oracle.all_sql(RULES) | oracle_scan.all_sql() | oracle_voice.all_sql()

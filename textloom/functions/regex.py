@@ -104,19 +104,23 @@ def split(x: Column, pattern: str) -> Column:
     return F.split(x, java(pattern), -1)
 
 
-def spans(text: Column, pattern: str, most: int | None = None) -> Column:
+_SPANS = "array<struct<start:int,end:int,text:string>>"
+
+
+def spans(text: Column, pattern: str | Column, most: int | None = None) -> Column:
     """array<struct<start, end, text>>: every match with its offsets, in code points from 0; most caps their number.
 
     The offsets come from the lengths of what lies between the matches, so the pattern must not match an empty text.
     """
-    return F.when(text.rlike(pattern), _spans(text, pattern, most)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    told = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.when(F.rlike(text, told), _spans(text, told, most)).otherwise(F.array().cast(_SPANS))
 
 
-def _spans(text: Column, pattern: str, most: int | None) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _spans(text: Column, pattern: Column, most: int | None) -> Column:
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     if most is not None:
         found = F.slice(found, 1, most)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
@@ -124,7 +128,12 @@ def _spans(text: Column, pattern: str, most: int | None) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("text")))).alias("out"))
 
     def place(hits: Column) -> Column:
-        pairs = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
+        pairs = F.slice(F.arrays_zip(F.split(text, pattern, F.lit(-1)).alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
         return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
     return let(found, place)
+
+
+def table(rows: list[dict]) -> Column:
+    """Rows of constants as one array of structs: rules that are read as data leave a plan small, however many they are."""
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])

@@ -74,53 +74,49 @@ def first_words(parts: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column m: all that one text gives before pooling. A null text counts as empty.
+FIELDS = ("clean", "word_list", "words", "sentences", "openers", "para_openers", "syllables", "values")
 
-    m has clean, word_list, words, sentences, openers, para_openers and values, a struct of the eight band metrics
-    (null where a text has no sentence or paragraph). One pass over the rows, no shuffle.
+
+def measure(docs: DataFrame, text_col: str = "text", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """docs with a struct column m: what one text gives before pooling. A null text counts as empty.
+
+    m has the fields asked for: clean, word_list, words, sentences, openers, para_openers, syllables and values, a struct
+    of the eight band metrics (null where a text has no sentence or paragraph). Only what they need is worked out, in one
+    pass over the rows, without a shuffle.
     """
-    cols = [c for c in docs.columns if c != "m"]
+    cols, asked = [c for c in docs.columns if c != "m"], set(fields)
+    counted = bool(asked & {"word_list", "words", "syllables", "values"})
+    parted, stacked = bool(asked & {"sentences", "openers", "values"}), bool(asked & {"para_openers", "values"})
+    clean = F.col("__clean")
     step = docs.select(*cols, clean_for_prose(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
-    step = step.select("*", words(F.col("__clean")).alias("__words"), sentences(F.col("__clean")).alias("__sents"), paragraphs(F.col("__clean")).alias("__paras"))
-    # Syllables, by passes over all words at once. A word of up to three letters has one. Of others a silent ending and
-    # a leading y go, and runs of one or two vowels count, one at least.
-    step = step.select("*", F.translate(F.lower(F.array_join("__words", " ")), "'’-", "").alias("__letters"))
-    step = step.select("*", F.regexp_replace("__letters", "(?<![a-z])[a-z]{1,3}(?![a-z])", "").alias("__longs"))
-    step = step.select("*", _silent_endings(F.col("__longs")).alias("__stems"))
+    more = [(counted, words(clean), "__words"), (parted, sentences(clean), "__sents"), (stacked, paragraphs(clean), "__paras")]
+    step = step.select("*", *[made.alias(name) for needed, made, name in more if needed])
     n, s = F.size("__words"), F.size("__sents")
-    vowelless = F.regexp_count("__longs", F.lit("[a-z]+")) - F.regexp_count("__stems", F.lit("[a-z]*[aeiouy][a-z]*"))
-    short = n - F.regexp_count("__longs", F.lit("[a-z]+"))
-    # A lone paragraph has the sentences of the text.
-    para_lengths = F.when(F.size("__paras") == 1, F.array(s)).otherwise(F.transform("__paras", lambda p: F.size(sentences(p))))
-    step = step.select(
-        "*",
-        n.alias("__n"),
-        mean(F.transform("__sents", word_count)).alias("__sentence"),
-        mean(para_lengths).alias("__paragraph"),
-        (short + F.regexp_count("__stems", F.lit("[aeiouy]{1,2}")) + vowelless).alias("__syllables"),
-    )
-    contracted = F.size(F.filter("__sents", lambda x: (x.contains("'") | x.contains("’")) & R.matches(x, CONTRACTION)))
-    per100 = lambda pattern: F.when(F.col("__n") > 0, 100.0 * R.count(F.col("__clean"), pattern) / F.col("__n")).otherwise(0.0)
-    grade = F.when((F.col("__n") > 0) & (s > 0), 0.39 * (F.col("__n") / s) + 11.8 * (F.col("__syllables") / F.col("__n")) - 15.59).otherwise(0.0)
-    values = F.struct(
-        F.col("__sentence").alias("sentenceLength"),
-        F.col("__paragraph").alias("paragraphLength"),
-        per100(",").alias("commaRate"),
-        per100(";").alias("semicolonRate"),
-        per100("—|–|\\s-\\s").alias("dashRate"),
-        per100("\\([^)]*\\)").alias("parentheticalRate"),
-        F.when(s > 0, 100.0 * contracted / s).alias("contractionRate"),
-        F.greatest(F.lit(0.0), grade).alias("readingLevel"),
-    )
-    m = F.struct(
-        F.col("__clean").alias("clean"),
-        F.transform("__words", F.lower).alias("word_list"),
-        F.col("__n").alias("words"),
-        F.col("__sents").alias("sentences"),
-        first_words(F.col("__sents")).alias("openers"),
-        first_words(F.col("__paras")).alias("para_openers"),
-        F.col("__syllables").alias("syllables"),
-        values.alias("values"),
-    )
-    return step.select(*cols, m.alias("m"))
+    if asked & {"syllables", "values"}:
+        # Syllables, by passes over all words at once. A word of up to three letters has one. Of others a silent ending
+        # and a leading y go, and runs of one or two vowels count, one at least.
+        step = step.select("*", F.translate(F.lower(F.array_join("__words", " ")), "'’-", "").alias("__letters"))
+        step = step.select("*", F.regexp_replace("__letters", "(?<![a-z])[a-z]{1,3}(?![a-z])", "").alias("__longs"))
+        step = step.select("*", _silent_endings(F.col("__longs")).alias("__stems"))
+        vowelless = F.regexp_count("__longs", F.lit("[a-z]+")) - F.regexp_count("__stems", F.lit("[a-z]*[aeiouy][a-z]*"))
+        short = n - F.regexp_count("__longs", F.lit("[a-z]+"))
+        step = step.select("*", (short + F.regexp_count("__stems", F.lit("[aeiouy]{1,2}")) + vowelless).alias("__syllables"))
+    made = {"clean": clean, "words": n, "sentences": F.col("__sents"), "syllables": F.col("__syllables"), "openers": first_words(F.col("__sents")), "para_openers": first_words(F.col("__paras")), "word_list": F.transform("__words", F.lower)}
+    if "values" in asked:
+        # A lone paragraph has the sentences of the text.
+        para_lengths = F.when(F.size("__paras") == 1, F.array(s)).otherwise(F.transform("__paras", lambda p: F.size(sentences(p))))
+        step = step.select("*", mean(F.transform("__sents", word_count)).alias("__sentence"), mean(para_lengths).alias("__paragraph"), n.alias("__n"))
+        contracted = F.size(F.filter("__sents", lambda x: (x.contains("'") | x.contains("’")) & R.matches(x, CONTRACTION)))
+        per100 = lambda pattern: F.when(F.col("__n") > 0, 100.0 * R.count(clean, pattern) / F.col("__n")).otherwise(0.0)
+        grade = F.when((F.col("__n") > 0) & (s > 0), 0.39 * (F.col("__n") / s) + 11.8 * (F.col("__syllables") / F.col("__n")) - 15.59).otherwise(0.0)
+        made["values"] = F.struct(
+            F.col("__sentence").alias("sentenceLength"),
+            F.col("__paragraph").alias("paragraphLength"),
+            per100(",").alias("commaRate"),
+            per100(";").alias("semicolonRate"),
+            per100("—|–|\\s-\\s").alias("dashRate"),
+            per100("\\([^)]*\\)").alias("parentheticalRate"),
+            F.when(s > 0, 100.0 * contracted / s).alias("contractionRate"),
+            F.greatest(F.lit(0.0), grade).alias("readingLevel"),
+        )
+    return step.select(*cols, F.struct(*[made[f].alias(f) for f in FIELDS if f in asked]).alias("m"))

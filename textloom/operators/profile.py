@@ -95,9 +95,14 @@ def absence_counts(clean: Column) -> Column:
     return F.when(clean.rlike(gate), F.filter(counted, lambda x: x["n"] > 0)).otherwise(F.array().cast("array<struct<label:string,n:int>>"))
 
 
-def measured(samples: DataFrame) -> DataFrame:
-    """(author, sample, label, type, m) of usable samples."""
-    return T.measure(samples.select("author", "sample", "label", "type", "text")).select("author", "sample", "label", "type", "m")
+#: What each part of a profile is made of.
+NEEDS = {"bands": ("words", "values"), "openers": ("openers",), "para_openers": ("para_openers",), "signature": ("word_list",), "absent": ("clean",)}
+
+
+def measured(samples: DataFrame, *parts: str) -> DataFrame:
+    """(author, sample, label, type, m) of usable samples, m with what these parts of a profile need (all, if none is named)."""
+    fields = {f for part in parts or NEEDS for f in NEEDS[part]}
+    return T.measure(samples.select("author", "sample", "label", "type", "text"), fields=tuple(fields)).select("author", "sample", "label", "type", "m")
 
 
 def words_by_author(m: DataFrame) -> DataFrame:
@@ -108,18 +113,20 @@ def words_by_author(m: DataFrame) -> DataFrame:
 def bands(m: DataFrame) -> DataFrame:
     """author, metric, available, have, need, samples, mean, sd, low, high: the eight numeric metrics, spoken samples aside.
 
-    An unavailable metric has no numbers. sd is the sample one, 0 for one value; numbers have one decimal.
+    An unavailable metric has no numbers. sd is the sample one, 0 for one value; numbers have one decimal. One shuffle,
+    of one row an author from each task.
     """
-    facts = {mid: (label, need) for mid, label, _, _, need in METRICS}
-    pairs = F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(facts[x][1]).alias("need"), F.col(f"m.values.{x}").alias("value")) for x in T.BAND_METRICS])
-    written = m.filter(F.col("type") == "written").select("author", F.inline(pairs))
-    seen = written.groupBy("author", "metric").agg(
-        F.count("value").alias("samples"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high")
+    facts = {mid: need for mid, _, _, _, need in METRICS}
+    written = lambda c: F.when(F.col("type") == "written", c)
+    made = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "low": F.min, "high": F.max}
+    pooled = m.groupBy("author").agg(
+        F.coalesce(F.sum(written(F.col("m.words").cast("long"))), F.lit(0)).cast("long").alias("have"),
+        *[F.struct(*[f(written(F.col(f"m.values.{x}"))).alias(name) for name, f in made.items()]).alias(x) for x in T.BAND_METRICS],
     )
-    every = words_by_author(m).select("author", F.col("written_words").alias("have"), F.inline(F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(facts[x][1]).alias("need")) for x in T.BAND_METRICS])))
-    out = every.join(seen, ["author", "metric"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
-    ok = (F.col("have") >= F.col("need")) & (F.col("samples") >= 2)
-    return out.select("author", "metric", ok.alias("available"), "have", "need", "samples", *[F.when(ok, js_round(F.col(c), 1)).alias(c) for c in ("mean", "sd", "low", "high")])
+    every = pooled.select("author", "have", F.inline(F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(facts[x]).alias("need"), F.col(x).alias("v")) for x in T.BAND_METRICS])))
+    ok = (F.col("have") >= F.col("need")) & (F.col("v.n") >= 2)
+    numbers = [("mean", F.col("v.mean")), ("sd", F.coalesce("v.sd", F.lit(0.0))), ("low", F.col("v.low")), ("high", F.col("v.high"))]
+    return every.select("author", "metric", ok.alias("available"), "have", "need", F.col("v.n").alias("samples"), *[F.when(ok, js_round(c, 1)).alias(name) for name, c in numbers])
 
 
 def openers(m: DataFrame, field: str = "openers", most: int = TOP_OPENERS) -> DataFrame:
@@ -143,7 +150,7 @@ def signature_words(m: DataFrame, most: int = TOP_SIGNATURE) -> DataFrame:
     stop = F.broadcast(spark.createDataFrame([(w,) for w in STOPWORDS], "word string"))  # a fixed list
     base = F.broadcast(spark.createDataFrame(list(BASELINE.items()), "word string, base int"))  # a fixed list
     kept = counts.filter((F.length("word") >= 4) & (F.col("spread") >= 2) & (F.col("cnt") >= 3)).join(stop, "word", "left_anti")
-    kept = kept.join(base, "word", "left").join(words_by_author(m).select("author", "total_words"), "author")
+    kept = kept.join(base, "word", "left").join(counts.groupBy("author").agg(F.sum("cnt").alias("total_words")), "author")
     ratio = F.col("cnt") / F.col("total_words") * 1e6 / F.coalesce(F.col("base"), F.lit(BASELINE_FLOOR))
     kept = kept.filter(ratio >= 3).select("author", "word", "cnt", "spread", js_round(F.col("cnt") / F.col("total_words") * 1e5, 1).alias("per100k"), js_round(ratio, 1).alias("ratio"))
     order = Window.partitionBy("author").orderBy(F.desc("ratio"), F.desc("cnt"), "word")

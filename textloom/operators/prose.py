@@ -129,11 +129,14 @@ def _word_pattern(pattern: str) -> str:
 
 def _hits(text: Column, rows: tuple) -> Column:
     """Issues of every match of rows, after one test of all patterns together."""
-    def of(type_: str, severity: str, pattern: str, suggestion: str) -> Column:
-        return F.transform(R.find(text, _word_pattern(pattern)), lambda m: _issue(type_, severity, F.regexp_replace(m, f"[{R.SPACE}]+", " "), suggestion))
+    told = R.table([{"java": R.java(_word_pattern(pattern)), "type": type_, "severity": severity, "weight": SEVERITY_WEIGHT[severity], "suggestion": suggestion} for type_, severity, pattern, suggestion in rows])
 
+    def issue(row: Column, match: Column) -> Column:
+        return F.struct(row["type"].alias("type"), F.lit("ai").alias("grp"), row["severity"].alias("severity"), row["weight"].alias("weight"), F.regexp_replace(match, f"[{R.SPACE}]+", " ").alias("text"), row["suggestion"].alias("suggestion"), F.lit(None).cast("int").alias("line"))
+
+    found = F.flatten(F.transform(told, lambda row: F.transform(F.regexp_extract_all(text, row["java"], F.lit(0)), lambda m: issue(row, m))))
     gate = f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(_word_pattern(r[2]).removeprefix('(?i)').removeprefix(chr(92) + 'b') for r in rows)})"  # all begin a word
-    return F.when(R.matches(text, gate), F.concat(*[of(*r) for r in rows]).cast(ISSUE)).otherwise(F.array().cast(ISSUE))
+    return F.when(R.matches(text, gate), found.cast(ISSUE)).otherwise(F.array().cast(ISSUE))
 
 
 def _one(when: Column, issue: Column) -> Column:

@@ -69,7 +69,7 @@ def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
     null text counts as empty. Drafts of one author meet that author's profile in a join; hot authors are split by the
     skew handling of adaptive execution.
     """
-    m = T.measure(drafts.select("doc_id", "author", "text")).select("doc_id", "author", F.col("m.words").alias("words"), F.col("m.values").alias("values"), F.col("m.openers").alias("draft_openers"), profile.absence_counts(F.col("m.clean")).alias("uses"))
+    m = T.measure(drafts.select("doc_id", "author", "text"), fields=("words", "values", "openers", "clean")).select("doc_id", "author", F.col("m.words").alias("words"), F.col("m.values").alias("values"), F.col("m.openers").alias("draft_openers"), profile.absence_counts(F.col("m.clean")).alias("uses"))
     step = m.join(profiles.select("author", "bands", "openers", "openers_available", "absent", "absent_available", "signature_available", "total_words", "written_words"), "author", "left")
     any_band = F.exists(F.map_values(F.coalesce("bands", F.create_map().cast("map<string,struct<available:boolean,low:double,high:double,mean:double,sd:double,samples:bigint,have:bigint,need:int>>"))), lambda b: b["available"])
     some = any_band | F.col("openers_available") | F.col("absent_available") | F.col("signature_available")

@@ -97,8 +97,8 @@ def _prose_rows(rows: tuple, base: int, source: str = "ptexts") -> list[str]:
     return out
 
 
-def _scan() -> str:
-    """CTEs of the whole scan: pk (prose findings), rk (resume findings), hk (house findings) and sc (scores)."""
+def prose_findings() -> str:
+    """CTEs from ptexts (doc_id, text, mode) up to pk: the prose findings that stay, with idx, their place in rule order."""
     clean, sents = oracle._clean("text"), oracle._sentences
     tier2 = tuple(("tier2-word", "medium", p, fix) for p, fix in prose.TIER2)
     title = prose.TITLE_CASE.replace("(?md)", "(?m)")
@@ -106,9 +106,7 @@ def _scan() -> str:
     mean = lambda xs: f"list_sum({xs})::DOUBLE / len({xs})"
     single = lambda ord_, type_, severity, text, suggestion, where: f"SELECT doc_id, {ord_}, 0, 0, {_q(type_)}, {_q(severity)}, {SEVERITY_WEIGHT[severity]}::DOUBLE, {text}, {_q(suggestion)} FROM pm WHERE {where}"
     general = "(SELECT * FROM ptexts WHERE mode <> 'resume')"
-    return f"""{_resume("mode = 'resume'")},
-ptexts AS (SELECT t.doc_id, t.text, j.mode FROM texts t JOIN j ON j.doc_id = t.doc_id),
-pa AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS wc, {clean} AS clean, len(regexp_extract_all(text, '—')) AS dashes, len(list_distinct(list_transform(regexp_extract_all(text, '{oracle.WORD}'), lambda w: lower(w)))) AS uniq,
+    return f"""pa AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS wc, {clean} AS clean, len(regexp_extract_all(text, '—')) AS dashes, len(list_distinct(list_transform(regexp_extract_all(text, '{oracle.WORD}'), lambda w: lower(w)))) AS uniq,
   list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n+'), lambda p: {oracle._trim("p")}), lambda p: regexp_matches(p, '[A-Za-z]')) AS ps FROM ptexts),
 pb AS (SELECT *, list_transform({sents("clean")}, lambda s: {words("s")}) AS lens, CASE WHEN len(ps) >= 5 THEN list_filter(list_transform(list_transform(ps, lambda p: list_transform({sents("p")}, lambda s: {words("s")})), lambda ls: {mean("ls")}), lambda x: x IS NOT NULL) ELSE []::DOUBLE[] END AS paras FROM pa),
 pc AS (SELECT *, {mean("lens")} AS average, {mean("paras")} AS para_mean FROM pb),
@@ -122,7 +120,13 @@ pf AS (SELECT {_COLUMNS} FROM ph UNION ALL SELECT {_COLUMNS} FROM p2 WHERE doc_i
   UNION ALL {single(5000, "low-ttr", "low", "uniq || ' different words'", "Say fewer things more exactly.", "wc >= 200 AND uniq / sqrt(wc::DOUBLE) < 3.0::DOUBLE")}
   UNION ALL {single(6000, "punct-distribution", "low", "dashes || ' em dashes'", "Use commas and full stops.", "dashes >= 6 AND dashes * 100.0::DOUBLE / greatest(wc, 1) > 3.0::DOUBLE")}
   UNION ALL {single(7000, "cross-para-burstiness", "low", "len(paras) || ' paragraphs of one rhythm'", "Vary the paragraphs.", "len(paras) >= 5 AND para_mean >= 8 AND para_cv < 0.05::DOUBLE")}),
-pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, pos) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lower(text) ORDER BY ord, pos) AS k FROM pf) WHERE k = 1),
+pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, pos) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lower(text) ORDER BY ord, pos) AS k FROM pf) WHERE k = 1)"""
+
+
+def _scan() -> str:
+    """CTEs of the whole scan: pk (prose findings), rk (resume findings), hk (house findings) and sc (scores)."""
+    return f"""{_resume("mode = 'resume'")},
+ptexts AS (SELECT t.doc_id, t.text, j.mode FROM texts t JOIN j ON j.doc_id = t.doc_id), {prose_findings()},
 {_house()},
 ps0 AS (SELECT w.doc_id, w.wc, coalesce((SELECT sum(weight) FROM pk WHERE pk.doc_id = w.doc_id), 0)::DOUBLE AS raw, (SELECT count(*) FROM pk WHERE pk.doc_id = w.doc_id) AS np,
   coalesce((SELECT sum(weight) FROM rk WHERE rk.doc_id = w.doc_id AND rk.type IN ({", ".join(_q(t) for t, g in resume.GROUPS.items() if g == "ai")})), 0)::DOUBLE AS rraw, (SELECT count(*) FROM rk WHERE rk.doc_id = w.doc_id AND rk.type IN ({", ".join(_q(t) for t, g in resume.GROUPS.items() if g == "ai")})) AS nr, (SELECT count(*) FROM hk WHERE hk.doc_id = w.doc_id) AS nh FROM wc w),

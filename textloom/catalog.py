@@ -83,6 +83,14 @@ def openers_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.openers(profile.measured(_samples(spark, sf_dir), "openers"))
 
 
+def paragraph_openers_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.openers(profile.measured(_samples(spark, sf_dir), "para_openers"), "para_openers")
+
+
+def profile_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.evidence(profile.measured(_samples(spark, sf_dir), "evidence"))
+
+
 def signature_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.signature_words(profile.measured(_samples(spark, sf_dir), "signature"))
 
@@ -159,7 +167,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    text_stats, sentence_openers_per_text, word_freq_topk, contact_predicates, rule_matches, calibrate_bands, profile_bands, openers_top12, signature_words, absent_words, corpus_status,
+    text_stats, sentence_openers_per_text, word_freq_topk, contact_predicates, rule_matches, calibrate_bands, profile_bands, openers_top12, paragraph_openers_top12, profile_evidence, signature_words, absent_words, corpus_status,
     voice_scores, voice_findings, resume_lines, resume_bullets, resume_structure, resume_findings, resume_scores, scan_documents, all_issues_order, fix_text, html_text,
 )
 

@@ -70,6 +70,7 @@ MORE_STOPWORDS = [
 STOPWORDS = sorted({*BASELINE, *MORE_STOPWORDS})
 FORMAT, VERSION = "textloom/fingerprint", 1
 TOP_OPENERS, TOP_SIGNATURE, ABSENCE_STOP = 12, 15, 501
+MAX_LABELS = 1_000
 
 
 class ProfileError(ValueError):
@@ -96,7 +97,7 @@ def absence_counts(clean: Column) -> Column:
 
 
 #: What each part of a profile is made of.
-NEEDS = {"bands": ("words", "values"), "openers": ("openers",), "para_openers": ("para_openers",), "signature": ("word_list",), "absent": ("clean",)}
+NEEDS = {"evidence": ("sentences", "values"), "bands": ("words", "values"), "openers": ("openers",), "para_openers": ("para_openers",), "signature": ("word_list",), "absent": ("clean",)}
 
 
 def measured(samples: DataFrame, *parts: str) -> DataFrame:
@@ -141,6 +142,56 @@ def openers(m: DataFrame, field: str = "openers", most: int = TOP_OPENERS) -> Da
     return ranked.join(totals, "author").select("author", "word", "cnt", "total", "distinct_words", js_round(F.col("cnt") / F.col("total") * 100, 1).alias("rate"), "rank")
 
 
+EXCERPT, CONTRACTION_EXCERPT = 220, 200
+
+
+def _excerpt(x: Column, most: int) -> Column:
+    return F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most - 1)), F.lit("…"))).otherwise(x)
+
+
+def _sentence_picks(m: DataFrame) -> DataFrame:
+    """author, place (0 to 2), sample, label, value, text: the shortest, the middle and the longest sentence.
+
+    All sentences of an author in order of their length, then sample, then place. Lengths are counted first, so that only
+    the places of three of them are looked for: no author's sentences are brought together.
+    """
+    lengths = settle(m, ["author", "sample", "label"], sents=F.col("m.sentences"), lens=F.transform("m.sentences", T.word_count))
+    counted = lengths.select("author", F.explode("lens").alias("v")).groupBy("author", "v").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("author").orderBy("v")
+    counted = counted.withColumn("before", F.sum("n").over(ahead) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("author")))
+    asked = F.array(F.lit(0).cast("long"), F.floor(F.col("total") / 2), F.col("total") - 1)
+    wanted = counted.select("author", "v", "before", "n", F.posexplode(asked).alias("place", "at")).filter("at >= before AND at < before + n").select("author", "place", "v", (F.col("at") - F.col("before")).alias("k"))
+    own = F.size(F.filter("lens", lambda x: x == F.col("v")))
+    there = lengths.select("author", "sample", "lens").join(wanted, "author").select("author", "place", "v", "k", "sample", own.alias("c")).filter("c > 0")
+    there = there.withColumn("passed", F.sum("c").over(Window.partitionBy("author", "place").orderBy("sample")) - F.col("c")).filter("k >= passed AND k < passed + c")
+    found = lengths.join(there.select("author", "place", "sample", "v", (F.col("k") - F.col("passed")).cast("int").alias("i")), ["author", "sample"])
+    text = F.filter(F.arrays_zip("sents", "lens"), lambda z: z["lens"] == F.col("v"))[F.col("i")]["sents"]
+    return found.select("author", "place", "label", F.col("v").cast("double").alias("value"), _excerpt(text, EXCERPT).alias("text"))
+
+
+def evidence(m: DataFrame) -> DataFrame:
+    """author, metric, place, label, value, text: excerpts of written samples behind each numeric metric.
+
+    For sentence length three sentences, for contractions the first three sentences that have one, otherwise the samples
+    with the lowest and the highest value.
+    """
+    own = m.filter(F.col("type") == "written")
+    units = {mid: unit for mid, _, unit, _, _ in METRICS}
+    ends = [x for x in T.BAND_METRICS if x not in ("sentenceLength", "contractionRate")]
+    entry = lambda x: F.when(F.col(f"m.values.{x}").isNotNull(), F.struct(F.col(f"m.values.{x}").alias("v"), "sample", "label"))
+    pooled = own.groupBy("author").agg(*[F.array(F.min(entry(x)), F.max(entry(x))).alias(x) for x in ends])
+    rows = pooled.select("author", F.inline(F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(units[x]).alias("unit"), F.col(x).alias("ends")) for x in ends]))).select("author", "metric", "unit", F.posexplode("ends").alias("place", "x")).filter("x IS NOT NULL")
+    value = js_round(F.col("x.v"), 1)
+    shown = F.regexp_replace(value.cast("string"), "\\.0$", "")
+    rows = rows.select("author", "metric", "place", F.col("x.label").alias("label"), value.alias("value"), F.concat("x.label", F.lit(": "), shown, F.lit(" "), "unit").alias("text"))
+    has = lambda s: (s.contains("'") | s.contains("’")) & R.matches(s, T.CONTRACTION)
+    first = settle(own, ["author", "sample", "label"], hits=F.slice(F.filter("m.sentences", has), 1, 3)).select("author", "sample", "label", F.posexplode("hits").alias("pos", "text"))
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("author").orderBy("sample", "pos")) - 1).filter("place < 3")
+    first = first.select("author", F.lit("contractionRate").alias("metric"), "place", "label", F.lit(None).cast("double").alias("value"), _excerpt(F.col("text"), CONTRACTION_EXCERPT).alias("text"))
+    picks = _sentence_picks(own).select("author", F.lit("sentenceLength").alias("metric"), "place", "label", "value", "text")
+    return rows.unionByName(first).unionByName(picks)
+
+
 def signature_words(m: DataFrame, most: int = TOP_SIGNATURE) -> DataFrame:
     """author, word, cnt, spread, per100k, ratio, rank: words far above their baseline rate, in two samples at least."""
     spark = m.sparkSession
@@ -167,28 +218,43 @@ def absent_words(m: DataFrame) -> DataFrame:
 
 
 def build(samples: DataFrame) -> DataFrame:
-    """A row an author: builtFrom counts and metrics, as the profile that voice.compare reads.
+    """A row an author: what it was built from and its metrics, as the profile that voice.compare reads.
 
-    bands: map metric -> struct(available, low, high, mean, sd, samples, have, need); openers: map word -> rate (top 12)
-    and openers_available; absent: sorted labels and absent_available; signature: array of struct.
+    bands: map metric -> struct(available, low, high, mean, sd, samples, have, need); openers and paragraph_openers: map
+    word -> rate (top 12); absent: sorted labels; signature: array of struct; evidence: map metric -> array of struct.
+    A part that has too few words behind it is null, and its *_available false. labels names the samples, in their order,
+    the MAX_LABELS first of them.
     """
     m = measured(samples)
-    words = words_by_author(m)
     need = {mid: n for mid, _, _, _, n in METRICS}
+    written = F.col("type") == "written"
+    counts = words_by_author(m).join(m.groupBy("author").agg(F.count_if(written).alias("written_samples"), F.count_if(~written).alias("spoken_samples")), "author")
+    named = m.select("author", "sample", "label").withColumn("n", F.row_number().over(Window.partitionBy("author").orderBy("sample"))).filter(F.col("n") <= MAX_LABELS)
+    labels = named.groupBy("author").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]).alias("labels"))
     b = bands(m).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("available", "low", "high", "mean", "sd", "samples", "have", "need")))).alias("bands"))
-    o = openers(m).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("word", "rate"))).alias("openers"))
+    rated = lambda field, name: openers(m, field).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("word", "rate"))).alias(name), F.min_by("word", "rank").alias(f"{name}_word"), F.min_by("cnt", "rank").alias(f"{name}_cnt"), F.first("total").alias(f"{name}_total"))
     s = signature_words(m).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "cnt", "spread", "per100k", "ratio"))).alias("signature"))
     a = absent_words(m).groupBy("author").agg(F.sort_array(F.collect_list("word")).alias("absent"))
-    out = words.join(b, "author", "left").join(o, "author", "left").join(s, "author", "left").join(a, "author", "left")
-    has = lambda metric, col: (F.col(col) >= need[metric])
+    e = evidence(m).groupBy("author", "metric").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "label", "value", "text"))), lambda x: F.struct(x["label"].alias("sample"), x["value"].alias("value"), x["text"].alias("text"))).alias("x"))
+    e = e.groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("metric", "x"))).alias("evidence"))
+    out = counts
+    for part in (labels, b, rated("openers", "openers"), rated("para_openers", "paragraph_openers"), s, a, e):
+        out = out.join(part, "author", "left")
+    has = lambda metric, col: F.col(col) >= need[metric]
+    opened = has("sentenceOpeners", "written_words") & F.col("openers").isNotNull()
+    top = F.struct(F.lit(None).cast("string").alias("sample"), F.element_at("openers", F.col("openers_word")).alias("value"), F.concat(F.lit('"'), "openers_word", F.lit('" opens '), F.col("openers_cnt").cast("string"), F.lit(" of "), F.col("openers_total").cast("string"), F.lit(" ("), F.regexp_replace(F.element_at("openers", F.col("openers_word")).cast("string"), "\\.0$", ""), F.lit("%)")).alias("text"))
     return out.select(
-        "author", "samples", "total_words", "written_words", "bands",
-        (has("sentenceOpeners", "written_words") & F.col("openers").isNotNull()).alias("openers_available"),
-        F.when(has("sentenceOpeners", "written_words"), F.col("openers")).alias("openers"),
+        "author", "samples", "written_samples", "spoken_samples", "total_words", "written_words", (F.col("total_words") - F.col("written_words")).alias("spoken_words"), "labels", "bands",
+        opened.alias("openers_available"),
+        F.when(opened, F.col("openers")).alias("openers"),
+        F.when(opened, top).alias("top_opener"),
+        (has("paragraphOpeners", "written_words") & F.col("paragraph_openers").isNotNull()).alias("paragraph_openers_available"),
+        F.when(has("paragraphOpeners", "written_words"), F.col("paragraph_openers")).alias("paragraph_openers"),
         has("signatureWords", "total_words").alias("signature_available"),
         F.when(has("signatureWords", "total_words"), F.coalesce("signature", F.array().cast("array<struct<rank:int,word:string,cnt:bigint,spread:bigint,per100k:double,ratio:double>>"))).alias("signature"),
         has("absentWords", "total_words").alias("absent_available"),
         F.when(has("absentWords", "total_words"), F.coalesce("absent", F.array().cast("array<string>"))).alias("absent"),
+        "evidence",
     )
 
 

@@ -33,7 +33,7 @@ HINTS = {
     "readingLevel": ("Heavier going than your writing.", "Plainer than you write."),
 }
 LABELS = {mid: label for mid, label, _, _, _ in profile.METRICS}
-FINDING = "array<struct<metric:string,label:string,severity:string,text:string,suggestion:string,word:string,low:double,high:double,draft_value:double,direction:string,penalty:int>>"
+FINDING = "array<struct<metric:string,label:string,severity:string,text:string,suggestion:string,word:string,low:double,high:double,draft_value:double,direction:string,penalty:int,evidence:array<struct<sample:string,value:double,text:string>>>>"
 
 
 def number(x: Column) -> Column:
@@ -41,11 +41,12 @@ def number(x: Column) -> Column:
     return F.regexp_replace(x.cast("string"), "\\.0$", "")
 
 
-def _finding(metric: str, label: str, severity: Column, text: Column, suggestion: Column, word: Column, low: Column, high: Column, value: Column, direction: Column, penalty: Column) -> Column:
-    return F.struct(F.lit(metric).alias("metric"), F.lit(label).alias("label"), severity.alias("severity"), text.alias("text"), suggestion.alias("suggestion"), word.cast("string").alias("word"), low.cast("double").alias("low"), high.cast("double").alias("high"), value.cast("double").alias("draft_value"), direction.cast("string").alias("direction"), penalty.cast("int").alias("penalty"))
+def _finding(metric: str, label: str, severity: Column, text: Column, suggestion: Column, word: Column, low: Column, high: Column, value: Column, direction: Column, penalty: Column, evidence: Column | None = None) -> Column:
+    none = F.array().cast("array<struct<sample:string,value:double,text:string>>")
+    return F.struct(F.lit(metric).alias("metric"), F.lit(label).alias("label"), severity.alias("severity"), text.alias("text"), suggestion.alias("suggestion"), word.cast("string").alias("word"), low.cast("double").alias("low"), high.cast("double").alias("high"), value.cast("double").alias("draft_value"), direction.cast("string").alias("direction"), penalty.cast("int").alias("penalty"), (none if evidence is None else F.coalesce(evidence, none)).alias("evidence"))
 
 
-def _band(metric: str, values: Column, bands: Column) -> Column:
+def _band(metric: str, values: Column, bands: Column, evidence: Column) -> Column:
     b, v = F.element_at(bands, F.lit(metric)), js_round(values[metric], 1)
     low, high = b["low"], b["high"]
     width = F.greatest(high - low, F.abs(high) * 0.15, F.lit(0.5))
@@ -56,21 +57,21 @@ def _band(metric: str, values: Column, bands: Column) -> Column:
     up, down = HINTS[metric]
     made = _finding(
         metric, LABELS[metric], F.when(ratio >= 1.5, "high").when(ratio >= 0.6, "medium").otherwise("low"), text, F.when(above, up).otherwise(down), F.lit(None), low, high, v,
-        F.when(above, "above").otherwise("below"), F.least(F.lit(MAX_PENALTY), js_round(BASE_PENALTY * (1 + ratio))),
+        F.when(above, "above").otherwise("below"), F.least(F.lit(MAX_PENALTY), js_round(BASE_PENALTY * (1 + ratio))), F.slice(F.element_at(evidence, F.lit(metric)), 1, 2),
     )
     return F.when(F.coalesce(b["available"] & (above | below), F.lit(False)), F.array(made).cast(FINDING)).otherwise(F.array().cast(FINDING))
 
 
 def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
     """drafts (doc_id, author, text) against their authors' profiles: doc_id, author, available, reason, score, band,
-    deducted, findings (by penalty, descending), unavailable (metric ids).
+    deducted, findings (by penalty, descending, each with excerpts of the author's as evidence), unavailable (metric ids).
 
     A draft is declined (no score, no findings) without a profile, under 80 words, or where no metric is available. A
     null text counts as empty. Drafts of one author meet that author's profile in a join; hot authors are split by the
     skew handling of adaptive execution.
     """
     m = T.measure(drafts.select("doc_id", "author", "text"), fields=("words", "values", "openers", "clean")).select("doc_id", "author", F.col("m.words").alias("words"), F.col("m.values").alias("values"), F.col("m.openers").alias("draft_openers"), profile.absence_counts(F.col("m.clean")).alias("uses"))
-    step = m.join(profiles.select("author", "bands", "openers", "openers_available", "absent", "absent_available", "signature_available", "total_words", "written_words"), "author", "left")
+    step = m.join(profiles.select("author", "bands", "openers", "openers_available", "top_opener", "paragraph_openers_available", "absent", "absent_available", "signature_available", "total_words", "written_words", "evidence"), "author", "left")
     any_band = F.exists(F.map_values(F.coalesce("bands", F.create_map().cast("map<string,struct<available:boolean,low:double,high:double,mean:double,sd:double,samples:bigint,have:bigint,need:int>>"))), lambda b: b["available"])
     some = any_band | F.col("openers_available") | F.col("absent_available") | F.col("signature_available")
     reason = (
@@ -87,7 +88,7 @@ def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
     def opener(x: Column) -> Column:
         rate, yours = js_round(x["n"] / total * 100, 1), F.coalesce(F.element_at("openers", x["w"]), F.lit(0.0))
         text = F.concat(F.lit("you open "), number(yours), F.lit('% of sentences with "'), x["w"], F.lit('", this draft opens '), number(rate), F.lit("% of them that way"))
-        return _finding("sentenceOpeners", "Sentence openers", F.lit("medium"), text, F.lit("Vary how the sentences start."), x["w"], F.lit(None), F.lit(None), rate, F.lit(None), F.lit(BASE_PENALTY))
+        return _finding("sentenceOpeners", "Sentence openers", F.lit("medium"), text, F.lit("Vary how the sentences start."), x["w"], F.lit(None), F.lit(None), rate, F.lit(None), F.lit(BASE_PENALTY), F.array("top_opener"))
 
     heavy = lambda x: (x["n"] >= 3) & (js_round(x["n"] / total * 100, 1) >= 20) & (js_round(x["n"] / total * 100, 1) >= 2.5 * F.coalesce(F.element_at("openers", x["w"]), F.lit(0.0)))
 
@@ -100,7 +101,7 @@ def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
     empty = F.array().cast(FINDING)
     words = F.array_sort(F.filter("uses", lambda x: F.array_contains("absent", x["label"])), lambda a, b: F.when(a["label"] < b["label"], -1).otherwise(1))
     found = F.concat(
-        *[_band(metric, F.col("values"), F.col("bands")) for metric in PHRASING],
+        *[_band(metric, F.col("values"), F.col("bands"), F.col("evidence")) for metric in PHRASING],
         F.when(F.col("absent_available"), F.transform(words, absent).cast(FINDING)).otherwise(empty),
         F.when(F.col("openers_available") & (total >= 5), F.transform(F.filter(tops, heavy), opener).cast(FINDING)).otherwise(empty),
     )
@@ -112,7 +113,7 @@ def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
             *[F.when(~F.coalesce(F.element_at("bands", F.lit(x))["available"], F.lit(False)), x) for x in PHRASING],
             F.when(~F.coalesce("absent_available", F.lit(False)), "absentWords"),
             F.when(~F.coalesce("openers_available", F.lit(False)), "sentenceOpeners"),
-            F.when(F.coalesce("written_words", F.lit(0)) < 1500, "paragraphOpeners"),
+            F.when(~F.coalesce("paragraph_openers_available", F.lit(False)), "paragraphOpeners"),
             F.when(~F.coalesce("signature_available", F.lit(False)), "signatureWords"),
         ),
         lambda x: x.isNotNull(),

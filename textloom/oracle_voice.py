@@ -5,7 +5,7 @@ from __future__ import annotations
 from textloom import oracle_scan
 from textloom.operators import corpus, profile, voice
 from textloom.operators.scoring import VOICE_BANDS
-from textloom.oracle import METRIC_COLUMNS, _band_case, _q, _round1, _trim, measured
+from textloom.oracle import METRIC_COLUMNS, _band_case, _n_words, _q, _round1, _trim, measured
 
 _EVERY = f"""
 every AS (SELECT * FROM (SELECT source AS author, doc_id AS sample, CASE WHEN doc_id % 5 = 0 THEN 'spoken' ELSE 'written' END AS type, {_trim("regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')")} AS text FROM documents)
@@ -48,6 +48,24 @@ k AS (SELECT author, word, cnt, spread, per100k, {_round1("x")} AS ratio FROM r
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY author ORDER BY ratio DESC, cnt DESC, word))::INTEGER AS rank FROM k) WHERE rank <= 15"""
 
 
+def _evidence() -> str:
+    units = {mid: unit for mid, _, unit, _, _ in profile.METRICS}
+    ends = [k for k in METRIC_COLUMNS if k not in ("sentenceLength", "contractionRate")]
+    long = " UNION ALL ".join(f"SELECT author, sample, '{k}' AS metric, '{units[k]}' AS unit, \"{k}\" AS v FROM sm WHERE type = 'written' AND \"{k}\" IS NOT NULL" for k in ends)
+    shown = lambda x: f"regexp_replace(({x})::VARCHAR, '\\.0$', '')"
+    cut = lambda x, n: f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n - 1}) || '…' ELSE {x} END"
+    return f"""WITH {_profile()},
+lo AS (SELECT *, row_number() OVER (PARTITION BY author, metric ORDER BY v, sample) AS up, row_number() OVER (PARTITION BY author, metric ORDER BY v DESC, sample DESC) AS down FROM ({long})),
+ev AS (SELECT author, metric, 0 AS place, sample, v, unit FROM lo WHERE up = 1 UNION ALL SELECT author, metric, 1, sample, v, unit FROM lo WHERE down = 1),
+st AS (SELECT b.author, b.sample, unnest(b.sents) AS sent, unnest(range(len(b.sents))) AS pos FROM sm_b b WHERE type = 'written'),
+ct AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY sample, pos) - 1 AS place FROM st WHERE regexp_matches(sent, '(?i)\\b\\w+[''’](?:t|s|re|ve|ll|d|m)\\b')),
+sl AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY n, sample, pos) - 1 AS i, count(*) OVER (PARTITION BY author) AS total FROM (SELECT *, {_n_words("sent")} AS n FROM st)),
+pk3 AS (SELECT author, 0 AS place, sample, n, sent FROM sl WHERE i = 0 UNION ALL SELECT author, 1, sample, n, sent FROM sl WHERE i = total // 2 UNION ALL SELECT author, 2, sample, n, sent FROM sl WHERE i = total - 1)
+SELECT author, metric, place::INTEGER AS place, 'doc ' || sample AS label, {_round1("v")} AS value, 'doc ' || sample || ': ' || {shown(_round1("v"))} || ' ' || unit AS text FROM ev
+UNION ALL SELECT author, 'contractionRate', place, 'doc ' || sample, NULL, {cut("sent", profile.CONTRACTION_EXCERPT)} FROM ct WHERE place < 3
+UNION ALL SELECT author, 'sentenceLength', place, 'doc ' || sample, n::DOUBLE, {cut("sent", profile.EXCERPT)} FROM pk3"""
+
+
 def _status() -> str:
     return f"""
 WITH {_samples()}, f AS (SELECT e.author, e.type, v.wc AS w, NOT v.flagged AS good FROM every e JOIN verdict v ON v.sample = e.sample),
@@ -89,6 +107,8 @@ def all_sql() -> dict[str, str]:
     return {
         "profile_bands": f"WITH {_profile()} SELECT * FROM bands",
         "openers_top12": f"WITH {_profile()} SELECT * FROM top12",
+        "paragraph_openers_top12": f"WITH {_profile().replace('unnest(openers) AS word, unnest(range(len(openers)))', 'unnest(para_openers) AS word, unnest(range(len(para_openers)))')} SELECT * FROM top12",
+        "profile_evidence": _evidence(),
         "signature_words": _signature(),
         "corpus_status": _status(),
         "voice_scores": _voice_scores(),

@@ -62,15 +62,16 @@ def _band(metric: str, values: Column, bands: Column, evidence: Column) -> Colum
     return F.when(F.coalesce(b["available"] & (above | below), F.lit(False)), F.array(made).cast(FINDING)).otherwise(F.array().cast(FINDING))
 
 
-def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """drafts (doc_id, author, text) against their authors' profiles: doc_id, author, available, reason, score, band,
+def compare(drafts: DataFrame, profiles: DataFrame, keep: tuple[str, ...] = ("doc_id", "author"), author_col: str = "author", text_col: str = "text") -> DataFrame:
+    """drafts against their authors' profiles: the columns keep of drafts, and available, reason, score, band,
     deducted, findings (by penalty, descending, each with excerpts of the author's as evidence), unavailable (metric ids).
 
     A draft is declined (no score, no findings) without a profile, under 80 words, or where no metric is available. A
     null text counts as empty. Drafts of one author meet that author's profile in a join; hot authors are split by the
     skew handling of adaptive execution.
     """
-    m = T.measure(drafts.select("doc_id", "author", "text"), fields=("words", "values", "openers", "clean")).select("doc_id", "author", F.col("m.words").alias("words"), F.col("m.values").alias("values"), F.col("m.openers").alias("draft_openers"), profile.absence_counts(F.col("m.clean")).alias("uses"))
+    m = T.measure(drafts.select(F.struct(*[f"`{c}`" for c in keep]).alias("kept"), F.col(f"`{author_col}`").alias("author"), F.col(f"`{text_col}`").alias("text")), fields=("words", "values", "openers", "clean"))
+    m = m.select("kept", "author", F.col("m.words").alias("words"), F.col("m.values").alias("values"), F.col("m.openers").alias("draft_openers"), profile.absence_counts(F.col("m.clean")).alias("uses"))
     step = m.join(profiles.select("author", "bands", "openers", "openers_available", "top_opener", "paragraph_openers_available", "absent", "absent_available", "signature_available", "total_words", "written_words", "evidence"), "author", "left")
     any_band = F.exists(F.map_values(F.coalesce("bands", F.create_map().cast("map<string,struct<available:boolean,low:double,high:double,mean:double,sd:double,samples:bigint,have:bigint,need:int>>"))), lambda b: b["available"])
     some = any_band | F.col("openers_available") | F.col("absent_available") | F.col("signature_available")
@@ -119,7 +120,8 @@ def compare(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     score = F.when(on, scoring.clamp(100 - deducted).cast("int"))
-    return settle(
-        step, ["doc_id", "author"], available=on, reason=F.col("reason"), score=score, band=F.when(on, scoring.band(score, scoring.VOICE_BANDS)), deducted=F.when(on, deducted), findings=F.col("findings"),
+    out = settle(
+        step, ["kept"], available=on, reason=F.col("reason"), score=score, band=F.when(on, scoring.band(score, scoring.VOICE_BANDS)), deducted=F.when(on, deducted), findings=F.col("findings"),
         unavailable=F.when(F.col("bands").isNotNull(), missing).otherwise(F.array().cast("array<string>")), words=F.col("words"),
     )
+    return out.select("kept.*", *[c for c in out.columns if c != "kept"])

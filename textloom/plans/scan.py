@@ -8,26 +8,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import regex as R
+from textloom.functions import text as T
 from textloom.functions.barrier import settle
-from textloom.operators import fixer, house, prose, resume, scoring
+from textloom.operators import fixer, house, prose, resume, scoring, voice
 
 
-def scan(docs: DataFrame, rules: list | bool | None = None, mode: str = "auto", context: str = "general", text_col: str = "text") -> DataFrame:
+def _house(rules: list | bool | None, docs: DataFrame, strict: bool) -> tuple[list, str | None]:
+    """(rules, error): no rules and a message where they can't be used, unless strict."""
+    if rules is False:
+        return [], None
+    try:
+        return house.normalize(house.DEFAULT_RULES if rules is None else rules, docs.sparkSession), None
+    except house.RuleError as e:
+        if strict:
+            raise
+        return [], str(e)
+
+
+def _regions(text: Column, issues: Column) -> Column:
+    """Sentences that hold a prose finding's words; looked for only where there is a finding."""
+    hit = lambda s: F.exists(issues, lambda x: F.lower(F.regexp_replace(s, f"[{R.SPACE}]+", " ")).contains(F.lower(x["text"])))
+    return F.when(F.size(issues) > 0, F.filter(T.sentences(T.clean_for_prose(text)), hit)).otherwise(F.array().cast("array<string>"))
+
+
+def scan(docs: DataFrame, rules: list | bool | None = None, mode: str = "auto", context: str = "general", text_col: str = "text", profiles: DataFrame | None = None, author_col: str = "author", strict_rules: bool = True) -> DataFrame:
     """docs with mode, ai_score, band, label, prose_score, craft_score (null for essays), words, density, evidence,
-    prose_issues, resume_issues, house_issues.
+    classification, confidence, probabilities, prose_issues, resume_issues, house_issues, house_error, regions, sections
+    (null for essays) and stats; with profiles also voice and voice_issues.
 
-    rules: None for the shipped house rules, False or an empty list for none. House and craft findings never move the
-    score. A null text counts as empty.
+    rules: None for the shipped house rules, False or an empty list for none; unusable ones raise an error, or with
+    strict_rules off are told in house_error. profiles: rows of profile.build(), met on author_col, the one step that
+    shuffles (a profile a row of docs at most). House, craft and voice findings never move the score. A null text counts
+    as empty.
     """
-    own = [] if rules is False else house.normalize(house.DEFAULT_RULES if rules is None else rules, docs.sparkSession)
+    own, wrong = _house(rules, docs, strict_rules)
+    if profiles is not None:
+        compared = voice.compare(docs, profiles, tuple(docs.columns), author_col, text_col)
+        told = F.struct(*[F.col(c) for c in ("available", "score", "band", "reason", "unavailable")])
+        docs = compared.select(*[F.col(f"`{c}`") for c in docs.columns], told.alias("voice"), F.col("findings").alias("voice_issues"))
     cols = [c for c in docs.columns]
+    text = F.coalesce(F.col(text_col), F.lit(""))
     told = resume.detect_mode(F.col("r")) if mode == "auto" else F.lit(mode)
-    step = resume.analyze(docs, text_col, active=told == "resume").select(*cols, told.alias("mode"), "a")
+    step = resume.analyze(docs, text_col, active=told == "resume").select(*cols, told.alias("mode"), "a", F.col("r.sections").alias("__sections"))
     technical = F.lit(True) if context == "technical" else F.col("mode") == "resume"
     step = prose.analyze(step, text_col, technical)
     ai = F.concat(F.col("p.issues"), F.filter(F.col("a.issues"), lambda x: x["grp"] == "ai"))
     weighted = F.aggregate(ai, F.lit(0.0), lambda acc, x: acc + scoring.weigh(x["severity"], x["weight"]))
-    step = step.select("*", scoring.calibrate(F.col("p.score"), weighted, F.size(ai), F.col("p.words")).alias("__c"))
+    step = step.select("*", scoring.calibrate(F.col("p.score"), weighted, F.size(ai), F.col("p.words")).alias("__c"), (F.col("mode") == "resume").alias("__resume"))
+    share = F.col("p.score") / 100.0
     return settle(
         step,
         cols,
@@ -36,15 +65,20 @@ def scan(docs: DataFrame, rules: list | bool | None = None, mode: str = "auto",
         band=F.col("__c.band"),
         label=scoring.band(F.col("__c.score"), field=3),
         prose_score=F.col("p.score"),
-        craft_score=F.when(F.col("mode") == "resume", F.col("a.craft_score")),
+        craft_score=F.when(F.col("__resume"), F.col("a.craft_score")),
         words=F.col("p.words"),
         density=F.col("__c.density"),
         evidence=F.col("__c.evidence"),
         classification=F.col("p.classification"),
         confidence=F.col("p.confidence"),
+        probabilities=F.struct(((1 - share) * (1 - share)).alias("human"), (2 * share * (1 - share)).alias("mixed"), (share * share).alias("machine")),
         prose_issues=F.col("p.issues"),
         resume_issues=F.col("a.issues"),
-        house_issues=house.findings_column(F.coalesce(F.col(text_col), F.lit("")), own),
+        house_issues=house.findings_column(text, own),
+        house_error=F.lit(wrong).cast("string"),
+        regions=_regions(text, F.col("p.issues")),
+        sections=F.when(F.col("__resume"), F.col("__sections")),
+        stats=F.struct(F.col("p.words").alias("words"), *[F.when(F.col("__resume"), F.col(f"a.{c}")).alias(c) for c in ("bullet_count", "bullets_with_metrics")]),
     )
 
 

@@ -181,7 +181,7 @@ def test_recall(spark):
     books = ann.codebook(x[:, :32], 500), ann.codebook(x[:, 32:], 500)
     limit, sizes = ann.reach_limit(x, books, 5, 0.94), np.zeros((500, 500), int)
     np.add.at(sizes, (ann._nearest_centroid(x[:, :32], books[0]), ann._nearest_centroid(x[:, 32:], books[1])), 1)
-    probed = [sum(sizes[c] for c in ann.walk(((books[0] - q[:32]) ** 2).sum(1), ((books[1] - q[32:]) ** 2).sum(1), sizes, 6, limit)) for q in x[ids % 50 == 0]]
+    probed = [sum(sizes[tuple(c)] for c in ann.walk(((books[0] - q[:32]) ** 2).sum(1), ((books[1] - q[32:]) ** 2).sum(1), sizes, 6, limit)) for q in x[ids % 50 == 0]]
     assert np.mean(probed) < 0.25 * len(x)
     found = {}
     for r in ann.nearest(df).collect():
@@ -197,7 +197,7 @@ def test_recall(spark):
 def test_walk_is_in_order():
     rng = np.random.default_rng(7)
     a, b, sizes = rng.random(6), rng.random(7), rng.integers(0, 4, (6, 7))
-    pairs = ann.walk(a, b, sizes, 10**9)
+    pairs = list(map(tuple, ann.walk(a, b, sizes, 10**9).tolist()))
     sums = [a[i] + b[j] for i, j in pairs]
     assert sums == sorted(sums) and {*pairs} == {(i, j) for i in range(6) for j in range(7) if sizes[i, j]}
 

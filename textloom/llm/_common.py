@@ -18,11 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, in what the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests) is a folder of our own used.
+    Where that setting is absent, a folder of our own will do for a session that is one process, as in tests; executors
+    elsewhere could not see it, so on a cluster that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -51,12 +51,15 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12, seed: int = 3) -> np.nd
     return book
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, limit: float = -np.inf) -> list[tuple[int, int]]:
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, limit: float = -np.inf) -> np.ndarray:
     """Pairs of centroids by ascending summed distance: those within limit, and on until their cells hold enough entries.
 
     Empty cells are left out. A heap holds the next pair of each first centroid.
     """
     i, j = np.nonzero(sizes)
+    within = first[i] + second[j] <= limit
+    if sizes[i[within], j[within]].sum() >= enough:  # nothing beyond the limit will be wanted
+        i, j = i[within], j[within]
     order = np.lexsort((second[j], i))
     i, j = i[order], j[order]
     sums, counts = (first[i] + second[j]).tolist(), sizes[i, j].tolist()
@@ -73,7 +76,7 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int,
             heapq.heapreplace(heap, (sums[at + 1], at + 1, end))
         else:
             heapq.heappop(heap)
-    return list(zip(i[found].tolist(), j[found].tolist(), strict=True))
+    return np.stack((i[found], j[found]), axis=1)
 
 
 def reach_limit(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, reach: float, queries: int = 256) -> float:
@@ -183,18 +186,20 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             vecs = batch.column(1).to_pylist()
             u = _unit(np.array(vecs)) if vecs else np.empty((0, h))
             for key, vec, unit in zip(batch.column(0).to_pylist(), vecs, u, strict=True):
-                blocks: dict[int, list[int]] = {}
-                for i, j in walk(((one - unit[:h]) ** 2).sum(1), ((two - unit[h:]) ** 2).sum(1), held, max(candidates, k + 1), limit):
-                    cell = i * seconds + j
-                    for part in range(first_of[cell], first_of[cell] + parts_of[cell]):
-                        blocks.setdefault(part, []).append(cell)
-                for part, cells in blocks.items():
-                    for name, value in zip(out, (key, vec, int(part), cells), strict=True):
+                pairs = walk(((one - unit[:h]) ** 2).sum(1), ((two - unit[h:]) ** 2).sum(1), held, max(candidates, k + 1), limit)
+                cells = pairs[:, 0] * seconds + pairs[:, 1]
+                times = parts_of[cells]
+                which = np.repeat(first_of[cells], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cells, order = np.repeat(cells, times), np.argsort(which, kind="stable")
+                parts, starts = np.unique(which[order], return_index=True)
+                for part, own in zip(parts.tolist(), np.split(cells[order], starts[1:]), strict=True):
+                    for name, value in zip(out, (key, vec, part, own.astype(np.int32)), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query", pa.string()), ("vec", pa.list_(pa.float64())), ("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
 
     queries = rows.filter(F.col("vec_id") % every == 0)
-    distinct = queries.groupBy("key").agg(F.first("vec").alias("vec")).repartition(shuffle_width(spark), "key")  # each query is much work
+    # Each query is much work: they are dealt out evenly. By key the plan would take the aggregation's few partitions.
+    distinct = queries.groupBy("key").agg(F.first("vec").alias("vec")).repartition(shuffle_width(spark))
     probes = cut(distinct.mapInArrow(probe, "query string, vec array<double>, block int, cells array<int>"))
     # A block that many queries probe meets them in parts of a block's size.
     crowds = probes.groupBy("block").count().filter(F.col("count") > block).select("block", F.ceil(F.col("count") / block).cast("int").alias("t"))

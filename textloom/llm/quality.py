@@ -146,7 +146,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rank: int = 8, epochs: int = 25, b
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_parts: int = 3, held_fold: int = 1, max_rows: int = 12_000) -> Machine:
     """Fit on at most about max_rows labelled rows outside the held-out fold; their vectors (2 bytes a feature) meet on the driver."""
-    rows = training_rows(docs, labels, "quality", id_col, text_col, held_parts, held_fold, None, max_rows)
+    rows = training_rows(docs, labels, "quality", id_col, text_col, held_parts, held_fold, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()

@@ -294,7 +294,7 @@ def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_parts: int = 5, held_fold: int = 0, max_rows: int = 50_000) -> Model:
     """Learn the lexicon and the outcome weights from at most max_rows labelled rows outside the held-out fold."""
-    rows = cut(one_of_each_copy(cut(training_rows(docs, labels, "toxic", id_col, text_col, held_parts, held_fold, None, max_rows))))
+    rows = cut(one_of_each_copy(cut(training_rows(docs, labels, "toxic", id_col, text_col, held_parts, held_fold, max_rows))))
     sizes = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     lexicon = learn_lexicon(rows, n_pos, n_neg) if n_pos and n_neg else Lexicon()

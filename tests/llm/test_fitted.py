@@ -74,6 +74,63 @@ def test_grammar_outcomes():
     assert outcomes("a grolk***", toxicity.Lexicon(stems={"grol": 4.0})) == {toxicity.PLAIN}
 
 
+def test_scopes_end_at_breaks():
+    assert outcomes("He said hello, you are an idiot") == {toxicity.AIMED}
+    assert outcomes('He said, "you are an idiot"') == outcomes("she says you are an idiot") == {toxicity.REPORTED}
+    assert outcomes("you said it and I kill you") == {toxicity.THREAT_AIMED}
+    assert outcomes("kill the lights, you") == {toxicity.THREATENED}
+    assert outcomes("it is not here, idiot") == {toxicity.PLAIN}
+    assert outcomes("you are, frankly, an idiot") == {toxicity.AIMED}
+    weigh = lambda text: max(toxicity.features(text, toxicity._Cache(toxicity.Lexicon()))[6:])
+    assert weigh("he said you are not an idiot") < weigh("you are not an idiot") < weigh("what an idiot") < weigh("you are an idiot")
+
+
+def test_composition_against_one_after_the_other():
+    """The composed grammar and its three parts run in turn give the same outcome and path weight."""
+    rng = np.random.default_rng(3)
+    parts = [toxicity.Transducer(0, toxicity.NEGATION_REACH + 1, toxicity._negate), toxicity.Transducer(0, 3, toxicity._report), toxicity.Transducer(0, toxicity._AIM_STATES, toxicity._aim)]
+    for _ in range(2000):
+        words = [(int(k), "") for k in rng.integers(0, 7, rng.integers(1, 12))]
+        state, total = toxicity.GRAMMAR.start, 0.0
+        for x in words:
+            state, weight = toxicity._STEP[state, x[0]]
+            total += weight
+        passed, plain = words, 0.0
+        for part in parts:
+            at, out = part.start, []
+            for x in passed:
+                at, y, weight = part.arcs[at, x]
+                out.append(y)
+                plain += weight
+            passed = out
+        assert toxicity._ENDS[state] == toxicity._outcome(at) and abs(total - plain) < 1e-9
+
+
+def test_lexicon_against_a_direct_count(spark):
+    """Each learned word passes the stated thresholds by a plain count, and each word that passes them is learned."""
+    import math
+    import re
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 60, 12)] + (["grunk"] if i % 4 == 0 else []) + (["snarl"] if i % 8 == 0 or i % 5 == 1 else [])
+        rows.append((i, " ".join(rng.permutation(words)), int(i % 4 == 0)))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"), 100, 300)
+    pos, neg = {}, {}
+    for _, text, y in rows:
+        for w in set(re.findall(r"\w+", text)):
+            (pos if y else neg)[w] = (pos if y else neg).get(w, 0) + 1
+    every, want = set(pos) | set(neg), {}
+    for w in every:
+        p, n = pos.get(w, 0), neg.get(w, 0)
+        odds, share = math.log((p + 0.5) / 101) - math.log((n + 0.5) / 301), p / (p + n)
+        excess = (p + n) * ((share * math.log(share / 0.25) if share else 0.0) + ((1 - share) * math.log((1 - share) / 0.75) if share < 1 else 0.0))
+        if p >= toxicity.MIN_SUPPORT and odds >= toxicity.MIN_ODDS and excess >= math.log(len(every) / toxicity.MAX_CHANCE):
+            want[w] = min(toxicity.MAX_WEIGHT, odds)
+    assert "grunk" in want and set(lexicon.words) == set(want) and all(abs(lexicon.words[w] - x) < 1e-9 for w, x in want.items())
+
+
 def test_best_region_against_all_regions():
     rng = np.random.default_rng(1)
     for _ in range(200):

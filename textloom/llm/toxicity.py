@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed and run over the words of a clause:
-
-* lexicon: letters -> INSULT, THREAT, TARGET, NEGATION, REPORT or OTHER. Its insult part is an acceptor over letters
-  with weights learned from labelled documents: whole words, and stems where several inflected forms share one;
-* negation: an insult or threat in the few words after a negation becomes a negated one;
-* report: one after a verb of speech becomes a reported one;
-* target: one in a clause that also names a person, before or after it, becomes an aimed one;
-* outcome: keeps the strongest outcome of the clause and its lexical weight.
-
-A document's features say how many of its clauses ended in each outcome and how strong the strongest word of each was.
-They are weighed by a logistic model whose weights start from, and are pulled to, stated priors, so that an outcome
-that no labelled row shows keeps its prior.
+Five weighted transducers are composed and run over the words of a clause:
+
+* lexicon: letters -> INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK or OTHER. Its insult part is an acceptor over
+  letters with weights learned from labelled documents: whole words, and stems where several inflected forms share one;
+* negation: an insult or threat in the few words after a negation becomes a negated one, up to a break;
+* report: one after a verb of speech becomes a reported one, up to a break that is not the verb's own comma;
+* target: an insult in a clause that also names a person, before or after it, becomes an aimed one; a threat only where
+  no break lies between them;
+* outcome: keeps the strongest outcome of the clause.
+
+A break is a comma or a conjunction; a clause ends at a full stop, colon, semicolon or line end. Arcs have weights, which
+add up along a path and under composition: being negated or reported lowers what a clause weighs, being aimed raises it.
+A clause weighs its strongest word's lexical weight and its path's.
+
+A document's features say how many of its clauses ended in each outcome and how much the heaviest of each weighed. They
+are weighed by a logistic model whose weights start from, and are pulled to, stated priors, so that an outcome that no
+labelled row shows keeps its prior.
 """
 
 from __future__ import annotations
@@ -31,15 +36,19 @@ from pyspark.sql import functions as F
 from textloom.llm._common import cut, fold, keep_rows
 from textloom.llm.labels import training_rows
 
-OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
+OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT, BREAK = range(7)
 PLAIN, AIMED, NEGATED, REPORTED, THREATENED, THREAT_AIMED = range(6)
-_CLAUSE_END = 8  # a flag beside the symbol
+#: Flags beside the symbol: the clause ends after the word, or a comma follows it.
+_CLAUSE_END, _COMMA = 8, 16
+#: Weights of arcs, in the lexicon's log odds.
+NEGATED_WEIGHT, REPORTED_WEIGHT, AIMED_WEIGHT = -2.0, -1.5, 1.0
 
 #: Closed-class words of the four languages, known without labels.
 _WORDS = {
     TARGET: "you your yours yourself u he she him her they them du dich dir ihr euch er sie tu toi te vous il elle eux ils tú ti usted ustedes él ella ellos",
     NEGATION: "not never no isn't aren't wasn't don't nicht kein keine keinen nie pas jamais aucun nunca ningún ninguna tampoco",
     REPORT: "said says say told claimed claims wrote called reported according quoted sagte sagt schrieb nannte laut dit disait écrit appelé selon dijo dice escribió llamó según",
+    BREAK: "and but or because so und aber oder weil denn et mais ou car donc y e pero o porque",
     THREAT: "kill murder strangle stab shoot slaughter umbringen töten erschießen tuer égorger matar apuñalar disparar",
 }
 _SEED_INSULTS = "idiot moron stupid worthless pathetic scum imbecile dumbass blödmann vollidiot connard abruti pendejo imbécil"
@@ -49,73 +58,89 @@ MIN_STEM, MAX_STEM = 4, 8
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _GAP = re.compile(r"[^\w']+")
-_STOP = re.compile(r"[.!?;:]\W*$")
+_STOP, _PAUSE = re.compile(r"[.!?;:]\W*$"), re.compile(r",\W*$")
 
 
 class Transducer:
-    """Deterministic transducer with a tracked output: arcs[(state, symbol)] = (state, symbol out)."""
+    """Deterministic weighted transducer: arcs[(state, symbol)] = (state, symbol out, weight)."""
 
     def __init__(self, start: int, states: int, arc) -> None:
         self.start, self.states = start, states
         self.arcs = {(s, x): arc(s, x) for s in range(states) for x in _ALPHABET}
 
     def compose(self, after: Transducer) -> Transducer:
-        """The transducer that feeds this one's output to the next, over pairs of states."""
+        """The transducer that feeds this one's output to the next, over pairs of states; weights add up."""
         n = after.states
 
         def arc(state: int, symbol) -> tuple:
-            to, out = self.arcs[state // n, symbol]
-            then, last = after.arcs[state % n, out]
-            return to * n + then, last
+            to, out, weight = self.arcs[state // n, symbol]
+            then, last, more = after.arcs[state % n, out]
+            return to * n + then, last, weight + more
 
         return Transducer(self.start * n + after.start, self.states * n, arc)
 
 
 #: Symbols between transducers: a word class and, for an insult or threat, whether it is negated or reported.
-_ALPHABET = [(c, m) for c in range(6) for m in (("", "n", "r", "nr") if c in (INSULT, THREAT) else ("",))]
+_ALPHABET = [(c, m) for c in range(7) for m in (("", "n", "r", "nr") if c in (INSULT, THREAT) else ("",))]
 
 
 def _negate(state: int, symbol: tuple) -> tuple:
+    """state: words that a negation still reaches."""
     kind, mark = symbol
     if kind == NEGATION:
-        return NEGATION_REACH, symbol
+        return NEGATION_REACH, symbol, 0.0
+    if kind == BREAK:
+        return 0, symbol, 0.0
     if kind in (INSULT, THREAT) and state and "n" not in mark:
-        symbol = (kind, "n" + mark)
-    return max(0, state - 1), symbol
+        return state - 1, (kind, "n" + mark), NEGATED_WEIGHT
+    return max(0, state - 1), symbol, 0.0
 
 
 def _report(state: int, symbol: tuple) -> tuple:
+    """state: 2 right after a verb of speech, 1 further on in what it reports."""
     kind, mark = symbol
     if kind == REPORT:
-        return 1, symbol
+        return 2, symbol, 0.0
+    if kind == BREAK:
+        return (1 if state == 2 else 0), symbol, 0.0
     if kind in (INSULT, THREAT) and state and "r" not in mark:
-        symbol = (kind, mark + "r")
-    return state, symbol
+        return 1, (kind, mark + "r"), REPORTED_WEIGHT
+    return min(state, 1), symbol, 0.0
 
 
-#: state: 1 once a target was seen, plus 2 for each outcome rank reached by the clause's hits
+#: Ranks of what a clause's hits came to.
 _RANK = {(INSULT, "nr"): 1, (INSULT, "r"): 1, (THREAT, "nr"): 1, (THREAT, "r"): 1, (THREAT, "n"): 2, (INSULT, "n"): 2, (INSULT, ""): 3, (THREAT, ""): 4}
+_AIM_STATES = 6 * 8
 
 
 def _aim(state: int, symbol: tuple) -> tuple:
+    """state: rank * 8, and flags: 1 a target since the last break, 2 a target at all, 4 a bare threat since the last break."""
     kind, mark = symbol
-    seen, rank = state & 1, state >> 1
-    if kind == TARGET:
-        seen = 1
+    rank, here, ever, threat = state >> 3, state & 1, state >> 1 & 1, state >> 2 & 1
+    was = rank >= 5 or rank == 3 and bool(ever)
+    if kind == BREAK:
+        here = threat = 0
+    elif kind == TARGET:
+        here = ever = 1
     elif kind in (INSULT, THREAT):
         rank = max(rank, _RANK[kind, mark])
-    return rank << 1 | seen, symbol
+        threat |= kind == THREAT and not mark
+    if here and threat:
+        rank = 5
+    aimed = rank >= 5 or rank == 3 and bool(ever)
+    return rank << 3 | threat << 2 | ever << 1 | here, symbol, AIMED_WEIGHT if aimed and not was else 0.0
 
 
 def _outcome(state: int) -> int:
     """Outcome of a clause that ended in a state of _aim."""
-    seen, rank = state & 1, state >> 1
-    return (PLAIN, REPORTED, NEGATED, AIMED if seen else PLAIN, THREAT_AIMED if seen else THREATENED)[rank]
+    return (PLAIN, REPORTED, NEGATED, AIMED if state >> 1 & 1 else PLAIN, THREATENED, THREAT_AIMED)[state >> 3]
 
 
-GRAMMAR = Transducer(0, NEGATION_REACH + 1, _negate).compose(Transducer(0, 2, _report)).compose(Transducer(0, 10, _aim))
-_STEP = {(s, x[0]): to for (s, x), (to, _) in GRAMMAR.arcs.items() if x[1] == ""}
-_ENDS = [_outcome(s % 10) for s in range(GRAMMAR.states)]
+GRAMMAR = Transducer(0, NEGATION_REACH + 1, _negate).compose(Transducer(0, 3, _report)).compose(Transducer(0, _AIM_STATES, _aim))
+_STEP = {(s, x[0]): (to, weight) for (s, x), (to, _, weight) in GRAMMAR.arcs.items() if x[1] == ""}
+_ENDS = [_outcome(s % _AIM_STATES) for s in range(GRAMMAR.states)]
+#: A path counts for so much at most, however many hits its clause has, and a clause with a hit weighs something.
+MOST_PATH, LEAST_CLAUSE = 3.0, 0.1
 
 
 @dataclass
@@ -141,10 +166,13 @@ class Lexicon:
         return kind, SEED_WEIGHT if kind == THREAT else 0.0
 
     def token(self, token: str) -> tuple[int, float]:
-        """Symbol (with the clause-end flag) and weight of a white-space token, in any case, with any punctuation."""
+        """Symbol (with its flags) and weight of a white-space token, in any case, with any punctuation.
+
+        Of a token of several words the weightiest counts, then the one with a class of its own.
+        """
         parts = [self.word(p) for p in _GAP.split(_EDGE.sub("", token)) if p] or [(OTHER, 0.0)]
-        kind, weight = max(parts)
-        return kind | (_CLAUSE_END if _STOP.search(token) else 0), weight
+        kind, weight = max(parts, key=lambda p: (p[1] > 0, p[0] if p[0] != BREAK or len(parts) == 1 else OTHER, p[1]))
+        return kind | (_CLAUSE_END if _STOP.search(token) else _COMMA if _PAUSE.search(token) else 0), weight
 
 
 class _Cache(dict):
@@ -161,7 +189,24 @@ class _Cache(dict):
         return found
 
 
-FEATURES = 12  # of each outcome: log of 1 + the clauses that ended in it, and the strongest weight in them
+FEATURES = 12  # of each outcome: log of 1 + the clauses that ended in it, and the weight of the heaviest
+
+
+def clauses(line: list[tuple[int, float]]) -> Iterator[tuple[int, float]]:
+    """(outcome, weight) of each clause of a line's tokens that has an insult or a threat."""
+    state, path, word = GRAMMAR.start, 0.0, 0.0
+    for symbol, w in [*line, (_CLAUSE_END, 0.0)]:
+        state, more = _STEP[state, symbol & 7]
+        path += more
+        if w > word:
+            word = w
+        if symbol & _COMMA:
+            state, more = _STEP[state, BREAK]
+            path += more
+        elif symbol & _CLAUSE_END:
+            if word:
+                yield _ENDS[state], max(LEAST_CLAUSE, word + max(-MOST_PATH, min(MOST_PATH, path)))
+            state, path, word = GRAMMAR.start, 0.0, 0.0
 
 
 def features(text: str | None, cache: dict) -> list[float]:
@@ -171,16 +216,9 @@ def features(text: str | None, cache: dict) -> list[float]:
         found = [cache[t] for t in line.split()]
         if not any(x[1] for x in found):
             continue
-        state, weight = GRAMMAR.start, 0.0
-        for symbol, w in [*found, (_CLAUSE_END, 0.0)]:
-            state = _STEP[state, symbol & 7]
-            weight = max(weight, w)
-            if symbol & _CLAUSE_END:
-                if weight:
-                    end = _ENDS[state]
-                    counts[end] += 1
-                    most[end] = max(most[end], weight)
-                state, weight = GRAMMAR.start, 0.0
+        for end, weight in clauses(found):
+            counts[end] += 1
+            most[end] = max(most[end], weight)
     return [math.log1p(c) for c in counts] + most
 
 

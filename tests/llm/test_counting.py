@@ -109,6 +109,24 @@ def test_a_full_cache_changes_nothing():
     assert token_counts.Segmenter(pieces, most=1).count(texts) == token_counts.Segmenter(pieces).count(texts)
 
 
+def test_a_shared_prefix_is_scored_once():
+    asked = []
+
+    class Pieces(dict):
+        def get(self, piece, *default):
+            asked.append(piece)
+            return super().get(piece, *default)
+
+    segmenter = token_counts.Segmenter(Pieces({"ab": -1.0, "abc": -2.0, token_counts.MARK: -1.0}))
+    segmenter.learn(["abcab"])
+    before = len(asked)
+    segmenter.learn(["abcab", "abc"])
+    assert len(asked) == before and len(segmenter.scores) == 7  # the root and one node a prefix
+    segmenter.learn(["abcx"])
+    assert 0 < len(asked) - before <= segmenter.longest and len(segmenter.scores) == 8
+    assert segmenter.ends == {"abcab": 3, "abc": 2, "abcx": 3}
+
+
 @pytest.mark.skipif(not os.path.exists(token_counts.VOCABULARY), reason="no vocabulary file")
 def test_vocabulary_file():
     pieces = token_counts.load_pieces()

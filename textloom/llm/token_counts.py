@@ -3,9 +3,11 @@
 A pre-token is a white-space word with the word mark in front. Its tokens are the best segmentation into vocabulary
 pieces, the one with the largest sum of scores; a character that no piece covers counts as its UTF-8 bytes. The forward
 score of a prefix (best sum of scores, and fewest tokens among the best) depends on the prefix alone, so distinct
-pre-tokens go into a trie and each of its nodes is scored once; a node that ends a pre-token holds its count.
+pre-tokens go into a trie and each of its nodes is scored once; a node that ends a pre-token holds its count. A task
+keeps its trie from text to text, up to a stated number of nodes.
 
-The trie is walked in sorted order with the stack of the current path's scores, so that its memory is one path's.
+The vocabulary is a parameter and is never trained. Of the files at hand none is of the unigram kind, so a merge
+vocabulary's pieces are scored by their rank; a file with unigram scores can be given as pieces as it is.
 """
 
 from __future__ import annotations
@@ -38,49 +40,66 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Segmenter:
-    """Counts of pre-tokens; kept for those seen, and emptied when full, which costs time and changes nothing."""
+    """A trie of the pre-tokens seen; emptied when full, which costs time and changes nothing.
 
-    def __init__(self, pieces: dict[str, float], most: int = 400_000) -> None:
+    Node n has the forward score and the tokens of its prefix; its child for a character is found under (n, character)
+    as one number. ends holds the count of each pre-token, which is that of its last node.
+    """
+
+    def __init__(self, pieces: dict[str, float], most: int = 2_000_000) -> None:
         self.pieces, self.most = pieces, most
         self.longest = max(map(len, pieces), default=1)
         self.worst = min(pieces.values(), default=0.0) - 10.0  # of a byte
-        self.counts: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.scores, self.tokens = [0.0], [0]  # of the root
+        self.children: dict[int, int] = {}
+        self.ends: dict[str, int] = {}
 
     def learn(self, words: Iterable[str]) -> None:
-        """Score the trie of some distinct words and keep each word's count."""
-        pieces, longest, counts = self.pieces, self.longest, self.counts
-        path, scores, tokens = "", [0.0], [0]  # the current path, and forward scores and counts of its prefixes
+        """Insert words, in order, so that each goes on from where it leaves the one before; only new nodes are scored."""
+        pieces, longest, worst, children, scores, tokens = self.pieces.get, self.longest, self.worst, self.children, self.scores, self.tokens
+        last, path, gone = "", [0], [0.0]  # the nodes of the current path and their scores
         for word in sorted(words):
-            text = MARK + word
-            common = 0
-            for a, b in zip(path, text, strict=False):
+            text, common = MARK + word, 0
+            for a, b in zip(last, text, strict=False):
                 if a != b:
                     break
                 common += 1
-            del scores[common + 1 :], tokens[common + 1 :]
+            del path[common + 1 :], gone[common + 1 :]
+            node = path[-1]
             for end in range(common + 1, len(text) + 1):
-                size = len(text[end - 1].encode("utf-8", "replace"))
-                best, fewest = scores[end - 1] + size * self.worst, tokens[end - 1] + size
-                for start in range(max(0, end - longest), end):
-                    score = pieces.get(text[start:end])
-                    if score is not None:
-                        score += scores[start]
-                        if score > best or score == best and tokens[start] + 1 < fewest:
-                            best, fewest = score, tokens[start] + 1
-                scores.append(best)
-                tokens.append(fewest)
-            path = text
-            counts[word] = tokens[-1]
+                letter = text[end - 1]
+                key = node << 21 | ord(letter)
+                known = children.get(key)
+                if known is None:
+                    size = 1 if letter < "\x80" else len(letter.encode("utf-8", "replace"))
+                    best, fewest = gone[-1] + size * worst, tokens[node] + size
+                    for start in range(end - longest if end > longest else 0, end):
+                        score = pieces(text[start:end])
+                        if score is not None:
+                            score += gone[start]
+                            if score > best or score == best and tokens[path[start]] + 1 < fewest:
+                                best, fewest = score, tokens[path[start]] + 1
+                    known = children[key] = len(scores)
+                    scores.append(best)
+                    tokens.append(fewest)
+                node = known
+                path.append(node)
+                gone.append(scores[node])
+            last = text
+            self.ends[word] = tokens[node]
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(tokens, pre-tokens) of each text."""
         out = []
         for i in range(0, len(texts), 256):
             split = [(t or "").split() for t in texts[i : i + 256]]
-            if len(self.counts) > self.most:
-                self.counts.clear()
-            self.learn({w for words in split for w in words}.difference(self.counts))
-            at = self.counts.__getitem__
+            if len(self.scores) > self.most:
+                self.forget()
+            self.learn({w for words in split for w in words}.difference(self.ends))
+            at = self.ends.__getitem__
             out += [(sum(map(at, words)), len(words)) for words in split]
         return out
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from textloom import oracle
 from textloom.oracle import _q
-from textloom.operators import house, prose, resume
+from textloom.operators import fixer, house, prose, resume
 from textloom.operators.scoring import BANDS, SEVERITY_WEIGHT
 
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -171,5 +171,52 @@ every AS (SELECT doc_id, 0 AS a, {_RANK} AS b, 1 AS c, idx, 'house' AS source, '
 SELECT doc_id, 'f' || (row_number() OVER (PARTITION BY doc_id ORDER BY a, b DESC, c, idx) - 1) AS issue_id, source, type, severity, label, text, suggestion FROM every"""
 
 
+def _case(was: str, by: str) -> str:
+    """by in the letter case of was."""
+    letters = f"regexp_replace({was}, '[^A-Za-z]', '', 'g')"
+    return f"CASE WHEN {by} = '' OR {letters} = '' THEN {by} WHEN length({letters}) > 1 AND {letters} = upper({letters}) THEN upper({by}) WHEN left({letters}, 1) = upper(left({letters}, 1)) THEN upper(left({by}, 1)) || substr({by}, 2) ELSE {by} END"
+
+
+def fix_text() -> str:
+    """Edits of every finding, those that are kept one after the other, the text put together, and its seams.
+
+    Words are looked for at every place of a text that has findings; their neighbours are compared, not looked at by the
+    pattern. Places count from 0.
+    """
+    known = fixer.known_suggestions()
+    kind = "CASE suggestion " + " ".join(f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in known.items()) + " ELSE '' END"
+    swap = "CASE suggestion " + " ".join(f"WHEN {_q(k)} THEN {_q(v[1])}" for k, v in known.items()) + " ELSE '' END"
+    deletable, never = (", ".join(_q(x) for x in xs) for xs in (fixer.DELETABLE, fixer.NEVER_AUTO))
+    directives = ", ".join(_q(x) for x in house.DIRECTIVES)
+    trim = oracle._trim
+    inflected = "CASE WHEN NOT contains(swap, ' ') AND lower(was) LIKE '%ing' AND NOT swap LIKE '%ing' THEN regexp_replace(swap, 'e$', '') || 'ing' ELSE swap END"
+    edge = lambda x: f"NOT regexp_matches({x}, '[A-Za-z0-9]')"
+    seams = "regexp_replace(regexp_replace(regexp_replace(raw, '[ \\t]+([,.;:!?])', '\\1', 'g'), '[ \\t]{2,}', ' ', 'g'), '(?m)[ \\t]+$', '', 'g')"
+    start = "(?:\\A|[.!?][\"''\\)\\]]?\\s+|\\n[ \\t]*\\n[ \\t]*)[a-z]"
+    return f"""WITH RECURSIVE {_scan()},
+found AS (SELECT doc_id, idx AS i, type, trim(text) AS quoted, suggestion FROM rk UNION ALL SELECT doc_id, 100000 + idx, type, trim(text), suggestion FROM pk),
+usable AS (SELECT f.*, {kind} AS kind, {swap} AS swap, t.text FROM found f JOIN texts t ON t.doc_id = f.doc_id WHERE type NOT IN ({never}) AND length(quoted) BETWEEN 2 AND 120),
+places AS (SELECT *, unnest(range(0, length(text) - length(quoted) + 1)) AS a FROM usable WHERE kind <> '' OR type IN ({deletable})),
+spots AS (SELECT *, a + length(quoted) AS b, substr(text, a + 1, length(quoted)) AS was FROM places WHERE lower(substr(text, a + 1, length(quoted))) = lower(quoted) AND (a = 0 OR {edge("substr(text, a, 1)")}) AND {edge("substr(text, a + length(quoted) + 1, 1)")}),
+cuts AS (SELECT *, length(regexp_extract(substr(text, b + 1), '^\\s*,\\s*')) AS comma, length(regexp_extract(substr(text, b + 1), '^\\s+')) AS space FROM spots WHERE (kind = 'delete' OR kind = '' AND type IN ({deletable})) AND regexp_matches(left(text, a), '(?:^|[.!?:;]\\s*|\\n\\s*)$')),
+deletions AS (SELECT doc_id, i, a, b + CASE WHEN comma > 0 THEN comma WHEN regexp_matches(was, '(?i)\\b(that|to note that)$') THEN space WHEN space > 0 AND regexp_matches({trim("was")}, {_q(fixer.STANDALONE)}) THEN space END AS b, '' AS put FROM cuts),
+swaps AS (SELECT *, {_case("was", "(" + inflected + ")")} AS put FROM spots WHERE kind = 'swap'),
+hspans AS (SELECT h.doc_id, f.idx - 200000 AS i, h.at0 AS a, h.at0 + length(h.text) AS b, h.text AS was, trim(f.suggestion) AS target FROM (SELECT *, spot::BIGINT AS at0 FROM h1) h JOIN hk f ON f.doc_id = h.doc_id AND f.seq = h.seq AND lower(f.text) = lower(h.text)),
+hpicks AS (SELECT *, CASE WHEN regexp_matches(target, '[A-Za-z0-9]') THEN {trim("string_split_regex(target, '\\s*[,/]\\s*')[1]")} ELSE target END AS pick FROM hspans WHERE lower(target) NOT IN ({directives}) AND target <> ''),
+edits AS (SELECT doc_id, i, a, b, {_case("was", "pick")} AS put FROM hpicks WHERE pick <> '' UNION ALL SELECT doc_id, i, a, b, put FROM deletions WHERE b IS NOT NULL
+  UNION ALL SELECT doc_id, i, a, b, put FROM swaps WHERE lower(put) <> lower(was) AND NOT (regexp_matches(substr(text, greatest(0, a - 6) + 1, a - greatest(0, a - 6)), '(?i)\\b(a|an|the)\\s+$') AND regexp_matches(swap, '^\\w+s$'))),
+queue AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b DESC, i) AS n FROM edits),
+steps AS (SELECT t.doc_id, 0::BIGINT AS n, ''::VARCHAR AS made, 0::BIGINT AS at0, 0::BIGINT AS applied, []::BIGINT[] AS touched FROM texts t
+  UNION ALL SELECT s.doc_id, q.n, CASE WHEN q.a < s.at0 THEN s.made ELSE s.made || substr(t.text, s.at0 + 1, q.a - s.at0) || q.put END, CASE WHEN q.a < s.at0 THEN s.at0 ELSE q.b END, s.applied + CASE WHEN q.a < s.at0 THEN 0 ELSE 1 END,
+    CASE WHEN q.a < s.at0 THEN s.touched ELSE list_append(s.touched, q.i) END FROM steps s JOIN queue q ON q.doc_id = s.doc_id AND q.n = s.n + 1 JOIN texts t ON t.doc_id = s.doc_id),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS k FROM steps) WHERE k = 1),
+spliced AS (SELECT l.doc_id, l.applied, len(list_distinct(l.touched)) AS touched, l.made || substr(t.text, l.at0 + 1) AS raw FROM last l JOIN texts t ON t.doc_id = l.doc_id),
+sewn AS (SELECT doc_id, applied, touched, {seams} AS x FROM spliced),
+parts AS (SELECT *, string_split_regex(x, '{start}') AS gaps, regexp_extract_all(x, '{start}') AS hits FROM sewn)
+SELECT p.doc_id, applied::INTEGER AS applied, (sc.nh + (SELECT count(*) FROM rk WHERE rk.doc_id = p.doc_id) + sc.np - touched)::INTEGER AS manual,
+  array_to_string(list_transform(range(1, len(gaps) + 1), lambda g: gaps[g] || CASE WHEN g <= len(hits) THEN substr(hits[g], 1, length(hits[g]) - 1) || upper(right(hits[g], 1)) ELSE '' END), '') AS fixed_text
+FROM parts p JOIN sc ON sc.doc_id = p.doc_id"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"resume_findings": resume_findings(), "resume_scores": resume_scores(), "scan_documents": scan_documents(), "all_issues_order": all_issues_order()}
+    return {"fix_text": fix_text(), "resume_findings": resume_findings(), "resume_scores": resume_scores(), "scan_documents": scan_documents(), "all_issues_order": all_issues_order()}

@@ -58,3 +58,53 @@ def test_one_step_goes_downhill_as_differences_say():
 def test_untrained_and_empty():
     net = lm_score.train(np.zeros((lm_score.SYMBOLS,) * 3, np.int64))
     assert np.allclose(np.exp(net.table().astype(float)).sum(2), 1, atol=1e-4)
+
+
+def test_the_whole_network_gains_on_the_near_one(spark):
+    """Where the second neighbour tells the word, two words on a side are worth more than one."""
+    rng = random.Random(10)
+
+    def text(n):
+        out = []
+        while len(out) < n:
+            key = rng.randrange(12)
+            out += [f"k{key}", "of", f"v{key}", "and"]
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text(160)) for i in range(200)], "doc_id long, text string").repartition(2)
+    contexts, wide, _ = lm_score.fit(docs)
+    near = lm_score.Wide.start(lm_score.train(lm_score.window_counts(docs, contexts.symbols)), contexts)
+    words = text(4000).split()
+    read = np.array([0, 0, *map(contexts.of, words), 0, 0])
+    windows = np.stack((read[:-4], read[1:-3], read[3:-1], read[4:]), axis=1)
+    cache = contexts.symbols.cache()
+    masked = np.array([cache[w] for w in words])
+    assert wide.score(windows, masked).mean() > near.score(windows, masked).mean() + 0.3
+
+
+def test_windows_are_the_neighbours():
+    rng = np.random.default_rng(11)
+    texts = [rng.integers(1, 9, n) for n in (5, 0, 1, 2, 7)]
+    flat = np.concatenate([np.concatenate(([0], t, [0])) for t in texts])
+    got, middle = lm_score._windows(flat), flat[1:-1]
+    want = [tuple(np.concatenate(([0, 0], t, [0, 0]))[[k, k + 1, k + 3, k + 4]]) for t in texts for k in range(len(t))]
+    assert [tuple(w) for w in got[middle > 0]] == want
+
+
+def test_gradient_of_the_whole_network():
+    rng = np.random.default_rng(12)
+    net = lm_score.Wide(*(rng.normal(0, 0.3, shape) for shape in ((4, lm_score.CONTEXTS, 5), 5, (5, lm_score.SYMBOLS), lm_score.SYMBOLS)))
+    windows, masked = rng.integers(0, 40, (60, 4)), rng.integers(1, 30, 60)
+    adam = lm_score._Adam(net)
+    before = [p.copy() for p in net.parts()]
+    adam.learn(windows, masked)
+    for part, old in zip(net.parts(), before, strict=True):
+        part[:] = old
+    for part, first in zip(net.parts(), adam.first, strict=True):  # the first moment holds a tenth of the gradient
+        for at in rng.permutation(np.flatnonzero(np.abs(first.ravel()) > 1e-5))[:5]:
+            sides = []
+            for step in (1e-4, -1e-4):
+                part.ravel()[at] += step
+                sides.append(-net.score(windows, masked).mean())
+                part.ravel()[at] -= step
+            assert abs((sides[0] - sides[1]) / 2e-4 - 10 * first.ravel()[at]) < 1e-4

@@ -20,20 +20,25 @@ def test_each_word_has_its_own_probability(spark, monkeypatch):
     got = lm_score.masked_scores(df).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words) for r in got) == sorted((i is None, i or 0, len((t or "").split())) for i, t in rows)
 
-    symbols = lm_score.Symbols(lm_score.frequent_words(df))
-    table, cache = lm_score.train(lm_score.window_counts(df, symbols)).table(), symbols.cache()
+    contexts, network, by_class = lm_score.fit(df)
+    cache = contexts.symbols.cache()
     counts = Counter(w for _, t in rows for w in (t or "").split())
     totals = Counter()
     for w, n in counts.items():
         totals[cache[w]] += n
+    assert {c: int(n) for c, n in enumerate(by_class) if n} == dict(totals)
     by_id = {r.doc_id: r for r in got}
     for i, t in rows:
         words = (t or "").split()
-        c = [0, *(cache[w] for w in words), 0]
-        want = sum(float(table[a, b, m]) + math.log(counts[w] / totals[m]) for w, a, m, b in zip(words, c, c[1:], c[2:], strict=False))
-        assert math.isclose(by_id[i].log_likelihood, want, rel_tol=1e-5, abs_tol=1e-5)
+        read = [0, 0, *map(contexts.of, words), 0, 0]
+        windows = np.array([(read[k], read[k + 1], read[k + 3], read[k + 4]) for k in range(len(words))], np.int64).reshape(-1, 4)
+        masked = np.array([cache[w] for w in words], np.int64)
+        table = network.log_probabilities(network.hidden(windows)) if words else np.empty((0, lm_score.SYMBOLS))
+        want = sum(float(table[k, m]) + math.log(counts[w] / totals[m]) for k, (w, m) in enumerate(zip(words, masked, strict=True)))
+        assert math.isclose(by_id[i].log_likelihood, want, rel_tol=1e-4, abs_tol=1e-3)
         assert (by_id[i].per_word is None) == (not words)
-    # The words of a symbol share its probability.
-    own = np.array([math.log(n / totals[cache[w]]) for w, n in counts.items()])
-    assert np.isclose(np.exp(table[0, 0, [cache[w] for w in counts]] + own).sum(), np.exp(table[0, 0, sorted(totals)]).sum(), atol=1e-4)
-    assert math.isclose(by_id[83].log_likelihood - by_id[86].log_likelihood, math.log(3), abs_tol=1e-5)
+    # Over all words of the corpus the probabilities of a masked one add up to 1, but for classes without a word.
+    alone = network.log_probabilities(network.hidden(np.array([[0, 0, 0, 0]])))[0]
+    every = sum(math.exp(float(alone[cache[w]])) * n / totals[cache[w]] for w, n in counts.items())
+    assert math.isclose(every, np.exp(alone[sorted(totals)]).sum(), abs_tol=1e-4) and every > 0.95
+    assert by_id[83].log_likelihood > by_id[86].log_likelihood  # the rarer of two words with one ending is less likely

@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood under a bidirectional window network trained in numpy.
 
-Words become symbols: the most frequent words of the corpus have one each, all others share hashed ones by their
-ending. The network reads the symbols on both sides of a masked one, adds their embeddings in a tanh layer and gives a
-softmax over all symbols. A word's probability is its symbol's, given both its neighbours, times its own among the words
-of that symbol, counted over every document: the vocabulary is the corpus's. A document's score is the sum of the
-log-probabilities of its words.
-
-With windows of one word on a side, the training objective depends on the corpus only through the counts of
-(left, masked, right) symbols. They are gathered from every document and trained on in full: the model sees all of the
-corpus. They come as an array for each task that read text, and are added up by blocks of left symbols. The counts of words
-grow with the corpus and stay dealt out by the word's hash.
+The network reads two words on either side of a masked one: embeddings of the four, by place, are added in a tanh layer,
+and a softmax gives the class of the masked word. A word's probability is its class's, given its neighbours, times its
+own among the words of that class, counted over every document: the vocabulary is the corpus's. A document's score is
+the sum of the log-probabilities of its words.
+
+Words are read as some two thousand context symbols: the frequent words of the corpus have one each, all others share
+hashed ones by their ending. Classes are the most frequent words by themselves and hashed endings.
+
+Training has two parts. Over the nearest neighbours' classes the objective depends on the corpus only through the counts
+of (left, masked, right), which are gathered from every document and trained on in full. From there on every task trains
+the whole network on its own documents, masking a third of the words at random, and the tasks' weights are averaged, each
+by the words it has masked. Counts of words grow with the corpus and stay dealt out by the word's hash.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ SYMBOLS = EDGE + FREQUENT + HASHED
 CHUNK_WORDS, CHUNK_DOCS = 500_000, 4096
 #: Logarithms of word counts are added up as integers of this fraction, in any order to the same sum.
 _FINE = float(1 << 24)
+#: Context symbols of frequent words and of hashed endings (a multiple of HASHED), and the places of a window.
+CONTEXT_WORDS, CONTEXT_HASHED, PLACES = 1_887, 160, 4
+CONTEXTS = EDGE + CONTEXT_WORDS + CONTEXT_HASHED
+#: Training in a task: words of a batch, share of the words that are masked, steps at least, rate, and blocks of weights.
+BATCH, MASKED, LEAST_STEPS, RATE, BLOCKS = 8_192, 1 / 3, 120, 0.004, 16
 
 
 @dataclass
@@ -61,12 +68,38 @@ class _Cache(dict):
         if len(self) > 400_000:
             self.clear()
             self.update(self.first)
-        key = word[-2:].lower() + ("+" if len(word) > 8 else "")
-        self[word] = symbol = EDGE + FREQUENT + zlib.crc32(key.encode("utf-8", "replace")) % HASHED
+        self[word] = symbol = EDGE + FREQUENT + _ending(word) % HASHED
         return symbol
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+def _ending(word: str) -> int:
+    return zlib.crc32((word[-2:].lower() + ("+" if len(word) > 8 else "")).encode("utf-8", "replace"))
+
+
+@dataclass
+class Contexts:
+    """Word -> context symbol. The class of a symbol's words is known from the symbol."""
+
+    frequent: list[str]
+    symbols: Symbols
+
+    def __post_init__(self) -> None:
+        self.known = {w: EDGE + i for i, w in enumerate(self.frequent)}
+
+    def of(self, word: str) -> int:
+        found = self.known.get(word)
+        return EDGE + CONTEXT_WORDS + _ending(word) % CONTEXT_HASHED if found is None else found
+
+    def classes(self) -> np.ndarray:
+        """The class of each context symbol."""
+        out = np.zeros(CONTEXTS, np.int64)
+        cache = self.symbols.cache()
+        out[EDGE : EDGE + len(self.frequent)] = [cache[w] for w in self.frequent]
+        out[EDGE + CONTEXT_WORDS :] = EDGE + FREQUENT + np.arange(CONTEXT_HASHED) % HASHED
+        return out
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = FREQUENT) -> list[str]:
     """The corpus's most frequent words, ties in the order of the word; counted over every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +118,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text") -> list[str]:
         yield flush()
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def _codes(text: str | None, cache: dict) -> np.ndarray:
@@ -215,23 +248,168 @@ def score(docs: DataFrame, symbols: Symbols, network: Network, id_col: str = "do
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
 
 
+@dataclass
+class Wide:
+    """The whole network: embeddings by place and context symbol, and the layer that gives classes."""
+
+    places: np.ndarray
+    bias: np.ndarray
+    out: np.ndarray
+    out_bias: np.ndarray
+
+    @classmethod
+    def start(cls, near: Network, contexts: Contexts) -> Wide:
+        """The nearest places as trained on classes, the others without a say."""
+        own, none = contexts.classes(), np.zeros((CONTEXTS, near.left.shape[1]), np.float32)
+        return cls(np.stack((none, near.left[own], near.right[own], none)).astype(np.float32), near.bias.copy(), near.out.copy(), near.out_bias.copy())
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.places, self.bias, self.out, self.out_bias]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts()])
+
+    def like(self, flat: np.ndarray) -> Wide:
+        """A network of this one's shape with the weights of flat."""
+        ends = np.cumsum([p.size for p in self.parts()])
+        return Wide(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, ends[:-1]), self.parts(), strict=True)))
+
+    def hidden(self, windows: np.ndarray) -> np.ndarray:
+        total = self.places[0][windows[:, 0]] + self.bias
+        for place in range(1, PLACES):
+            total += self.places[place][windows[:, place]]
+        return np.tanh(total)
+
+    def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
+        z = hidden @ self.out + self.out_bias
+        z[:, 0] = -np.inf  # the edge is never masked
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    def score(self, windows: np.ndarray, masked: np.ndarray) -> np.ndarray:
+        """Log-probability of each window's masked class."""
+        out = np.empty(len(masked), np.float64)
+        for at in range(0, len(masked), 2048):  # what fits a cache
+            rows = slice(at, at + 2048)
+            z = self.hidden(windows[rows]) @ self.out + self.out_bias
+            z -= z[:, 1:].max(1, keepdims=True)
+            own = z[np.arange(len(z)), masked[rows]]
+            out[rows] = own - np.log(np.exp(z[:, 1:], out=z[:, 1:]).sum(1))  # the edge is never masked
+        return out
+
+
+def _windows(flat: np.ndarray) -> np.ndarray:
+    """The four neighbours of each symbol but the first and the last of texts laid end to end, each between two edges."""
+    wide, n = np.concatenate(([0], flat, [0])), len(flat)
+    return np.stack((wide[: n - 2], wide[1 : n - 1], wide[3 : n + 1], wide[4 : n + 2]), axis=1)
+
+
+class _Adam:
+    def __init__(self, net: Wide) -> None:
+        self.net, self.step = net, 0
+        self.first, self.second = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
+
+    def learn(self, windows: np.ndarray, masked: np.ndarray) -> None:
+        net = self.net
+        h = net.hidden(windows)
+        e = np.exp(net.log_probabilities(h))
+        e[np.arange(len(masked)), masked] -= 1
+        e /= len(masked)
+        back = (e @ net.out.T) * (1 - h * h)
+        places = np.empty_like(net.places)
+        for place in range(PLACES):
+            for d in range(back.shape[1]):
+                places[place, :, d] = np.bincount(windows[:, place], back[:, d], CONTEXTS)
+        self.step += 1
+        rate = RATE * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
+        for t, g, m, s in zip(net.parts(), (places, back.sum(0), h.T @ e, e.sum(0)), self.first, self.second, strict=True):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            t -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
+
+
+def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "text", seed: int = 5) -> Wide:
+    """start, trained further on every document: by each task on its own, from the same start, then averaged.
+
+    A task with few words goes over them again until it has made LEAST_STEPS steps. Weights are added up by blocks, so
+    that the driver gets them once, however many tasks there are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((contexts, start))
+
+    def train_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, first = shared.value
+        words, rng = _Words(known.symbols, known), np.random.default_rng((seed, TaskContext.get().partitionId()))
+        adam, held, seen, kept = _Adam(first.like(first.flat())), [], 0, []
+
+        def learn(rows: np.ndarray) -> None:
+            adam.learn(rows[:, :PLACES], rows[:, PLACES])
+            if len(kept) < LEAST_STEPS:
+                kept.append(rows.astype(np.int16))
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i in range(0, len(texts), 256):
+                flat = np.concatenate([x for t in texts[i : i + 256] for x in (_NONE, np.fromiter(map(words.__getitem__, (t or "").split()), np.int64), _NONE)])
+                masked = np.array(words.symbol, np.int64)[flat][1:-1]
+                chosen = np.flatnonzero((masked > 0) & (rng.random(masked.size) < MASKED))
+                if chosen.size:
+                    held.append(np.column_stack((_windows(np.array(words.context, np.int64)[flat])[chosen], masked[chosen])))
+                if len(words.symbol) > 400_000:
+                    words.forget()
+                if sum(map(len, held)) >= BATCH:
+                    rows = np.concatenate(held)
+                    for at in range(0, len(rows) - BATCH + 1, BATCH):
+                        learn(rows[at : at + BATCH])
+                        seen += BATCH
+                    held = [rows[len(rows) // BATCH * BATCH :]]
+        rest = np.concatenate(held) if held else np.empty((0, PLACES + 1), np.int64)
+        if len(rest):
+            learn(rest)
+            seen += len(rest)
+        for again in range(LEAST_STEPS - adam.step if kept else 0):
+            rows = kept[again % len(kept)].astype(np.int64)
+            adam.learn(rows[:, :PLACES], rows[:, PLACES])
+        for block, weights in enumerate(np.array_split(adam.net.flat(), BLOCKS) if seen else ()):
+            yield pa.RecordBatch.from_pylist([{"block": block, "n": seen, "w": weights.tobytes()}], schema=pa.schema([("block", pa.int32()), ("n", pa.int64()), ("w", pa.binary())]))
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for part in parts:
+            for block, n, w in zip(part["block"], part["n"], part["w"], strict=True):
+                total, before = sums.get(int(block), (0, 0.0))
+                sums[int(block)] = total + int(n), before + int(n) * np.frombuffer(w, np.float32).astype(np.float64)
+        for block, (n, w) in sums.items():
+            yield pd.DataFrame({"block": [block], "n": [n], "w": [w.tobytes()]})
+
+    trained = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(train_own, "block int, n long, w binary")
+    sums: dict[int, list] = {}
+    for r in trained.repartition("block").mapInPandas(add, "block int, n long, w binary").toLocalIterator():
+        own = sums.setdefault(r["block"], [0, 0.0])
+        own[0] += r["n"]
+        own[1] = own[1] + np.frombuffer(r["w"], np.float64)
+    if not sums:
+        return start
+    return start.like(np.concatenate([sums[block][1] / sums[block][0] for block in range(BLOCKS)]))
+
+
 class _Words(dict):
-    """word -> number within a task, with the symbol and the hash of each number; number 0 is the edge."""
+    """word -> number within a task, with the class, context symbol and hash of each number; number 0 is the edge."""
 
-    def __init__(self, symbols: Symbols) -> None:
+    def __init__(self, symbols: Symbols, contexts: Contexts) -> None:
         super().__init__()
-        self.cache = symbols.cache()
-        self.symbol, self.hash = [0], [0]
+        self.cache, self.contexts = symbols.cache(), contexts
+        self.symbol, self.context, self.hash = [0], [0], [0]
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self.symbol)
         self.symbol.append(self.cache[word])
+        self.context.append(self.contexts.of(word))
         self.hash.append(xxhash.xxh64_intdigest(word.encode("utf-8", "replace")))
         return number
 
     def forget(self) -> None:
         self.clear()
-        del self.symbol[1:], self.hash[1:]
+        del self.symbol[1:], self.context[1:], self.hash[1:]
 
 
 _NONE = np.zeros(1, np.int64)
@@ -241,18 +419,18 @@ _SUMMED = "chunk long, docs binary, sums binary, ids array<long>"
 _SUMMED_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
 
-def score_words(docs: DataFrame, symbols: Symbols, network: Network, totals: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As score(), of the words themselves: a word that shares its symbol adds log(its count in docs / totals[symbol]).
+def score_words(docs: DataFrame, contexts: Contexts, network: Wide, totals: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score(), of the words themselves: a word that shares its class adds log(its count in docs / totals[class]).
 
-    totals holds the words of docs by symbol. Words are dealt out by a 64-bit hash, which stands for the word; each
+    totals holds the words of docs by class. Words are dealt out by a 64-bit hash, which stands for the word; each
     partition counts its own words and sends each chunk of documents the sums of their logarithms.
     """
     width = shuffle_width(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((symbols, network.table().ravel(), np.log(np.maximum(totals, 1))))
+    shared = docs.sparkSession.sparkContext.broadcast((contexts, network, np.log(np.maximum(totals, 1))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, log_totals = shared.value
-        own, chunk = _Words(known), TaskContext.get().partitionId() << 32
+        known, net, log_totals = shared.value
+        own, chunk = _Words(known.symbols, known), TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -260,8 +438,8 @@ def score_words(docs: DataFrame, symbols: Symbols, network: Network, totals: np.
             flat = np.concatenate([x for t in texts for x in (_NONE, t, _NONE)])
             symbol, word_hash = np.array(own.symbol, np.int64)[flat], np.array(own.hash, np.uint64)
             doc, number, middle = np.repeat(np.arange(len(texts)), sizes + 2)[1:-1], flat[1:-1], symbol[1:-1]
-            gain = table[(symbol[:-2] * SYMBOLS + symbol[2:]) * SYMBOLS + middle].astype(np.float64)
-            gain[middle == 0] = 0
+            gain, words_at = np.zeros(len(middle)), np.flatnonzero(middle)
+            gain[words_at] = net.score(_windows(np.array(own.context, np.int64)[flat])[words_at], middle[words_at])
             shares = middle >= EDGE + FREQUENT
             gain[shares] -= log_totals[middle[shares]]
             base = np.bincount(doc, gain, len(texts))
@@ -335,8 +513,15 @@ def score_words(docs: DataFrame, symbols: Symbols, network: Network, totals: np.
     return summed.repartition(width, "chunk").mapInArrow(add, "doc_id long, n_words long, log_likelihood double, per_word double")
 
 
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Contexts, Wide, np.ndarray]:
+    """(words' symbols, network, words by class) of docs."""
+    frequent = frequent_words(docs, text_col, CONTEXT_WORDS)
+    contexts = Contexts(frequent, Symbols(frequent[:FREQUENT]))
+    counts = window_counts(docs, contexts.symbols, text_col)
+    return contexts, refine(docs, contexts, Wide.start(train(counts), contexts), text_col), counts.sum((0, 1))
+
+
 def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count, train and score on the same documents."""
-    symbols = Symbols(frequent_words(docs, text_col))
-    counts = window_counts(docs, symbols, text_col)
-    return score_words(docs, symbols, train(counts), counts.sum((0, 1)), id_col, text_col)
+    contexts, network, totals = fit(docs, text_col)
+    return score_words(docs, contexts, network, totals, id_col, text_col)

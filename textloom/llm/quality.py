@@ -1,4 +1,7 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+
+Of a document's metadata labels, language, source and id may not be inputs; its length, which is left, is a statistic of
+the text itself.
 
 score(x) = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where the pair term is half of
 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2): linear in the number of features.

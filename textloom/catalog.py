@@ -108,7 +108,8 @@ def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voice.compare(extras.drafts(spark, sf_dir), profile.build(_samples(spark, sf_dir)))
+    screened = _samples(spark, sf_dir).select("author", "sample", "label", "type", "text").persist()  # read by each part of a profile
+    return voice.compare(extras.drafts(spark, sf_dir), profile.build(screened))
 
 
 def voice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

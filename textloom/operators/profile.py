@@ -97,7 +97,7 @@ def absence_counts(clean: Column) -> Column:
 
 
 #: What each part of a profile is made of.
-NEEDS = {"evidence": ("sentences", "values"), "bands": ("words", "values"), "openers": ("openers",), "para_openers": ("para_openers",), "signature": ("word_list",), "absent": ("clean",)}
+NEEDS = {"counts": ("words",), "evidence": ("sentences", "values"), "bands": ("words", "values"), "openers": ("openers",), "para_openers": ("para_openers",), "signature": ("word_list",), "absent": ("clean",)}
 
 
 def measured(samples: DataFrame, *parts: str) -> DataFrame:
@@ -108,7 +108,8 @@ def measured(samples: DataFrame, *parts: str) -> DataFrame:
 
 def words_by_author(m: DataFrame) -> DataFrame:
     n = F.col("m.words").cast("long")
-    return m.groupBy("author").agg(F.count(F.lit(1)).alias("samples"), F.sum(n).alias("total_words"), F.coalesce(F.sum(F.when(F.col("type") == "written", n)), F.lit(0)).cast("long").alias("written_words"))
+    written = F.col("type") == "written"
+    return m.groupBy("author").agg(F.count(F.lit(1)).alias("samples"), F.count_if(written).alias("written_samples"), F.count_if(~written).alias("spoken_samples"), F.sum(n).alias("total_words"), F.coalesce(F.sum(F.when(F.col("type") == "written", n)), F.lit(0)).cast("long").alias("written_words"))
 
 
 def bands(m: DataFrame) -> DataFrame:
@@ -223,19 +224,18 @@ def build(samples: DataFrame) -> DataFrame:
     bands: map metric -> struct(available, low, high, mean, sd, samples, have, need); openers and paragraph_openers: map
     word -> rate (top 12); absent: sorted labels; signature: array of struct; evidence: map metric -> array of struct.
     A part that has too few words behind it is null, and its *_available false. labels names the samples, in their order,
-    the MAX_LABELS first of them.
+    the MAX_LABELS first of them. Each part reads samples for itself and measures no more than it needs: samples whose
+    making is dear (a screening, say) are better persisted or stored before.
     """
-    m = measured(samples)
     need = {mid: n for mid, _, _, _, n in METRICS}
-    written = F.col("type") == "written"
-    counts = words_by_author(m).join(m.groupBy("author").agg(F.count_if(written).alias("written_samples"), F.count_if(~written).alias("spoken_samples")), "author")
-    named = m.select("author", "sample", "label").withColumn("n", F.row_number().over(Window.partitionBy("author").orderBy("sample"))).filter(F.col("n") <= MAX_LABELS)
+    counts = words_by_author(measured(samples, "counts"))
+    named = samples.select("author", "sample", "label").withColumn("n", F.row_number().over(Window.partitionBy("author").orderBy("sample"))).filter(F.col("n") <= MAX_LABELS)
     labels = named.groupBy("author").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]).alias("labels"))
-    b = bands(m).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("available", "low", "high", "mean", "sd", "samples", "have", "need")))).alias("bands"))
-    rated = lambda field, name: openers(m, field).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("word", "rate"))).alias(name), F.min_by("word", "rank").alias(f"{name}_word"), F.min_by("cnt", "rank").alias(f"{name}_cnt"), F.first("total").alias(f"{name}_total"))
-    s = signature_words(m).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "cnt", "spread", "per100k", "ratio"))).alias("signature"))
-    a = absent_words(m).groupBy("author").agg(F.sort_array(F.collect_list("word")).alias("absent"))
-    e = evidence(m).groupBy("author", "metric").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "label", "value", "text"))), lambda x: F.struct(x["label"].alias("sample"), x["value"].alias("value"), x["text"].alias("text"))).alias("x"))
+    b = bands(measured(samples, "bands")).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("available", "low", "high", "mean", "sd", "samples", "have", "need")))).alias("bands"))
+    rated = lambda field, name: openers(measured(samples, field), field).groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("word", "rate"))).alias(name), F.min_by("word", "rank").alias(f"{name}_word"), F.min_by("cnt", "rank").alias(f"{name}_cnt"), F.first("total").alias(f"{name}_total"))
+    s = signature_words(measured(samples, "signature")).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "cnt", "spread", "per100k", "ratio"))).alias("signature"))
+    a = absent_words(measured(samples, "absent")).groupBy("author").agg(F.sort_array(F.collect_list("word")).alias("absent"))
+    e = evidence(measured(samples, "evidence")).groupBy("author", "metric").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "label", "value", "text"))), lambda x: F.struct(x["label"].alias("sample"), x["value"].alias("value"), x["text"].alias("text"))).alias("x"))
     e = e.groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("metric", "x"))).alias("evidence"))
     out = counts
     for part in (labels, b, rated("openers", "openers"), rated("para_openers", "paragraph_openers"), s, a, e):

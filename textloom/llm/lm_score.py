@@ -10,7 +10,7 @@ hashed ones by their ending. Classes are the most frequent words by themselves a
 
 Training has two parts. Over the nearest neighbours' classes the objective depends on the corpus only through the counts
 of (left, masked, right), which are gathered from every document and trained on in full. From there on every task trains
-the whole network on its own documents, masking a third of the words at random, and the tasks' weights are averaged, each
+the whole network on its own documents, masking an eighth of the words at random, and the tasks' weights are averaged, each
 by the words it has masked. Counts of words grow with the corpus and stay dealt out by the word's hash.
 """
 
@@ -41,7 +41,7 @@ _FINE = float(1 << 24)
 CONTEXT_WORDS, CONTEXT_HASHED, PLACES = 1_887, 160, 4
 CONTEXTS = EDGE + CONTEXT_WORDS + CONTEXT_HASHED
 #: Training in a task: words of a batch, share of the words that are masked, steps at least, rate, and blocks of weights.
-BATCH, MASKED, LEAST_STEPS, RATE, BLOCKS = 8_192, 1 / 3, 120, 0.004, 16
+BATCH, MASKED, LEAST_STEPS, RATE, BLOCKS = 8_192, 1 / 8, 120, 0.004, 16
 
 
 @dataclass
@@ -136,8 +136,8 @@ def window_counts(docs: DataFrame, symbols: Symbols, text_col: str = "text") ->
         cache, total = symbols.cache(), np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                codes = [_codes(t, cache) for t in texts[i : i + 256]]
+            for i in range(0, len(texts), 2048):
+                codes = [_codes(t, cache) for t in texts[i : i + 2048]]
                 # Texts are laid end to end; windows whose middle is an edge are no word's.
                 flat = np.concatenate(codes)
                 cell = (flat[:-2] * SYMBOLS + flat[2:]) * SYMBOLS + flat[1:-1]
@@ -275,10 +275,11 @@ class Wide:
         return Wide(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, ends[:-1]), self.parts(), strict=True)))
 
     def hidden(self, windows: np.ndarray) -> np.ndarray:
-        total = self.places[0][windows[:, 0]] + self.bias
+        total = np.take(self.places[0], windows[:, 0], axis=0)
         for place in range(1, PLACES):
-            total += self.places[place][windows[:, place]]
-        return np.tanh(total)
+            total += np.take(self.places[place], windows[:, place], axis=0)
+        total += self.bias
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
         z = hidden @ self.out + self.out_bias
@@ -288,20 +289,25 @@ class Wide:
 
     def score(self, windows: np.ndarray, masked: np.ndarray) -> np.ndarray:
         """Log-probability of each window's masked class."""
-        out = np.empty(len(masked), np.float64)
+        out, layer = np.empty(len(masked), np.float64), np.vstack((self.out, self.out_bias))[:, 1:]  # the edge is never masked
+        # Unless weights are that large, no exponential can overflow and none need be scaled first.
+        plain = float(np.abs(layer).sum(0).max()) < 60
+        ones = np.ones(layer.shape[1], layer.dtype)
         for at in range(0, len(masked), 2048):  # what fits a cache
-            rows = slice(at, at + 2048)
-            z = self.hidden(windows[rows]) @ self.out + self.out_bias
-            z -= z[:, 1:].max(1, keepdims=True)
-            own = z[np.arange(len(z)), masked[rows]]
-            out[rows] = own - np.log(np.exp(z[:, 1:], out=z[:, 1:]).sum(1))  # the edge is never masked
+            own, rows = masked[at : at + 2048] - 1, windows[at : at + 2048]
+            hidden = self.hidden(rows)
+            z = np.column_stack((hidden, np.ones(len(rows), hidden.dtype))) @ layer
+            if not plain:
+                z -= z.max(1, keepdims=True)
+            got = z[np.arange(len(rows)), own]
+            out[at : at + 2048] = got - np.log(np.exp(z, out=z) @ ones)
         return out
 
 
-def _windows(flat: np.ndarray) -> np.ndarray:
-    """The four neighbours of each symbol but the first and the last of texts laid end to end, each between two edges."""
-    wide, n = np.concatenate(([0], flat, [0])), len(flat)
-    return np.stack((wide[: n - 2], wide[1 : n - 1], wide[3 : n + 1], wide[4 : n + 2]), axis=1)
+def _windows(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The four neighbours of the symbols after places at, of texts laid end to end, each between two edges."""
+    wide = np.concatenate((np.zeros(1, flat.dtype), flat, np.zeros(1, flat.dtype)))
+    return np.stack((wide[at], wide[at + 1], wide[at + 3], wide[at + 4]), axis=1)
 
 
 class _Adam:
@@ -350,10 +356,10 @@ def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "te
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 256):
                 flat = np.concatenate([x for t in texts[i : i + 256] for x in (_NONE, np.fromiter(map(words.__getitem__, (t or "").split()), np.int64), _NONE)])
-                masked = np.array(words.symbol, np.int64)[flat][1:-1]
+                context, masked = np.array(words.context, np.int64), np.array(words.symbol, np.int64)[flat][1:-1]
                 chosen = np.flatnonzero((masked > 0) & (rng.random(masked.size) < MASKED))
                 if chosen.size:
-                    held.append(np.column_stack((_windows(np.array(words.context, np.int64)[flat])[chosen], masked[chosen])))
+                    held.append(np.column_stack((_windows(context[flat], chosen), masked[chosen])))
                 if len(words.symbol) > 400_000:
                     words.forget()
                 if sum(map(len, held)) >= BATCH:
@@ -439,7 +445,7 @@ def score_words(docs: DataFrame, contexts: Contexts, network: Wide, totals: np.n
             symbol, word_hash = np.array(own.symbol, np.int64)[flat], np.array(own.hash, np.uint64)
             doc, number, middle = np.repeat(np.arange(len(texts)), sizes + 2)[1:-1], flat[1:-1], symbol[1:-1]
             gain, words_at = np.zeros(len(middle)), np.flatnonzero(middle)
-            gain[words_at] = net.score(_windows(np.array(own.context, np.int64)[flat])[words_at], middle[words_at])
+            gain[words_at] = net.score(_windows(np.array(own.context, np.int32)[flat], words_at), middle[words_at])
             shares = middle >= EDGE + FREQUENT
             gain[shares] -= log_totals[middle[shares]]
             base = np.bincount(doc, gain, len(texts))

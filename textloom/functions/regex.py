@@ -76,7 +76,8 @@ def js_round(x: Column, digits: int = 0) -> Column:
     return F.floor(x * k + 0.5) / k if digits else F.floor(x + 0.5)
 
 
-_SPACES = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+WIDE_SPACES = "\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+_SPACES = " \t\n\x0b\f\r" + WIDE_SPACES
 
 
 def trim(x: Column) -> Column:

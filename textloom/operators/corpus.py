@@ -89,7 +89,7 @@ def valid(samples: DataFrame) -> DataFrame:
     """
     text = R.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "\r\n?", "\n"))
     out = samples.withColumn("text", text).withColumn("type", F.when(F.col("type") == "spoken", "spoken").otherwise("written")).withColumn("override", F.coalesce(F.col("override"), F.lit(False)))
-    out = out.withColumn("words", T.token_count(F.col("text")))
+    out = settle(out, [c for c in out.columns if c != "words"], words=T.token_count(F.col("text")))
     return out.filter(F.col("words").between(MIN_SAMPLE_WORDS, MAX_SAMPLE_WORDS))
 
 

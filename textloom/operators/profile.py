@@ -138,9 +138,10 @@ def openers(m: DataFrame, field: str = "openers", most: int = TOP_OPENERS) -> Da
     """
     each = settle(m.filter(F.col("type") == "written"), ["author", "sample"], words=F.col(f"m.{field}")).select("author", "sample", F.posexplode("words").alias("pos", "word"))
     counts = each.groupBy("author", "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("sample", "pos")).alias("first"))
-    totals = counts.groupBy("author").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("distinct_words"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("cnt"), "first"))).filter(F.col("rank") <= most)
-    return ranked.join(totals, "author").select("author", "word", "cnt", "total", "distinct_words", js_round(F.col("cnt") / F.col("total") * 100, 1).alias("rate"), "rank")
+    # Totals come from the same counts, so that the texts are gone through once.
+    own = Window.partitionBy("author")
+    ranked = counts.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("cnt"), "first")), "total": F.sum("cnt").over(own), "distinct_words": F.count(F.lit(1)).over(own)}).filter(F.col("rank") <= most)
+    return ranked.select("author", "word", "cnt", "total", "distinct_words", js_round(F.col("cnt") / F.col("total") * 100, 1).alias("rate"), "rank")
 
 
 EXCERPT, CONTRACTION_EXCERPT = 220, 200
@@ -201,8 +202,9 @@ def signature_words(m: DataFrame, most: int = TOP_SIGNATURE) -> DataFrame:
     counts = by_sample.groupBy("author", "word").agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("spread"))
     stop = F.broadcast(spark.createDataFrame([(w,) for w in STOPWORDS], "word string"))  # a fixed list
     base = F.broadcast(spark.createDataFrame(list(BASELINE.items()), "word string, base int"))  # a fixed list
+    counts = counts.withColumn("total_words", F.sum("cnt").over(Window.partitionBy("author")))  # of the same pass over the texts
     kept = counts.filter((F.length("word") >= 4) & (F.col("spread") >= 2) & (F.col("cnt") >= 3)).join(stop, "word", "left_anti")
-    kept = kept.join(base, "word", "left").join(counts.groupBy("author").agg(F.sum("cnt").alias("total_words")), "author")
+    kept = kept.join(base, "word", "left")
     ratio = F.col("cnt") / F.col("total_words") * 1e6 / F.coalesce(F.col("base"), F.lit(BASELINE_FLOOR))
     kept = kept.filter(ratio >= 3).select("author", "word", "cnt", "spread", js_round(F.col("cnt") / F.col("total_words") * 1e5, 1).alias("per100k"), js_round(ratio, 1).alias("ratio"))
     order = Window.partitionBy("author").orderBy(F.desc("ratio"), F.desc("cnt"), "word")

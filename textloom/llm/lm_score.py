@@ -17,6 +17,7 @@ by the words it has masked. Counts of words grow with the corpus and stay dealt
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -113,7 +114,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = FREQUENT
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update((text or "").split())
-                if len(counts) > 200_000:
+                if len(counts) > 400_000:
                     yield flush()
         yield flush()
 
@@ -125,7 +126,7 @@ def _codes(text: str | None, cache: dict) -> np.ndarray:
     """A text's symbols with the edge symbol at either end."""
     words = (text or "").split()
     out = np.zeros(len(words) + 2, np.int64)
-    out[1:-1] = [cache[w] for w in words]
+    out[1:-1] = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
     return out
 
 
@@ -354,9 +355,9 @@ def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "te
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                flat = np.concatenate([x for t in texts[i : i + 256] for x in (_NONE, np.fromiter(map(words.__getitem__, (t or "").split()), np.int64), _NONE)])
-                context, masked = np.array(words.context, np.int64), np.array(words.symbol, np.int64)[flat][1:-1]
+            for i in range(0, len(texts), 1024):
+                flat = np.concatenate([x for t in texts[i : i + 1024] for x in (_NONE, np.fromiter(map(words.__getitem__, (t or "").split()), np.int64), _NONE)])
+                context, masked = np.array(words.context), np.array(words.symbol)[flat][1:-1]
                 chosen = np.flatnonzero((masked > 0) & (rng.random(masked.size) < MASKED))
                 if chosen.size:
                     held.append(np.column_stack((_windows(context[flat], chosen), masked[chosen])))
@@ -404,7 +405,7 @@ class _Words(dict):
     def __init__(self, symbols: Symbols, contexts: Contexts) -> None:
         super().__init__()
         self.cache, self.contexts = symbols.cache(), contexts
-        self.symbol, self.context, self.hash = [0], [0], [0]
+        self.symbol, self.context, self.hash = array("i", [0]), array("i", [0]), array("Q", [0])
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self.symbol)
@@ -442,10 +443,10 @@ def score_words(docs: DataFrame, contexts: Contexts, network: Wide, totals: np.n
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
             flat = np.concatenate([x for t in texts for x in (_NONE, t, _NONE)])
-            symbol, word_hash = np.array(own.symbol, np.int64)[flat], np.array(own.hash, np.uint64)
+            symbol, word_hash = np.array(own.symbol)[flat], np.array(own.hash)
             doc, number, middle = np.repeat(np.arange(len(texts)), sizes + 2)[1:-1], flat[1:-1], symbol[1:-1]
             gain, words_at = np.zeros(len(middle)), np.flatnonzero(middle)
-            gain[words_at] = net.score(_windows(np.array(own.context, np.int32)[flat], words_at), middle[words_at])
+            gain[words_at] = net.score(_windows(np.array(own.context)[flat], words_at), middle[words_at])
             shares = middle >= EDGE + FREQUENT
             gain[shares] -= log_totals[middle[shares]]
             base = np.bincount(doc, gain, len(texts))

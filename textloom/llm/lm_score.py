@@ -41,6 +41,8 @@ _FINE = float(1 << 24)
 #: Context symbols of frequent words and of hashed endings (a multiple of HASHED), and the places of a window.
 CONTEXT_WORDS, CONTEXT_HASHED, PLACES = 1_887, 160, 4
 CONTEXTS = EDGE + CONTEXT_WORDS + CONTEXT_HASHED
+#: A task with fewer masked words than this goes over them again, up to LEAST_STEPS steps.
+ENOUGH = 250_000
 #: Training in a task: words of a batch, share of the words that are masked, steps at least, rate, and blocks of weights.
 BATCH, MASKED, LEAST_STEPS, RATE, BLOCKS = 8_192, 1 / 8, 120, 0.004, 16
 
@@ -338,7 +340,7 @@ class _Adam:
 def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "text", seed: int = 5) -> Wide:
     """start, trained further on every document: by each task on its own, from the same start, then averaged.
 
-    A task with few words goes over them again until it has made LEAST_STEPS steps. Weights are added up by blocks, so
+    A task with few words goes over them again until it has made LEAST_STEPS steps or learned ENOUGH words. Weights are added up by blocks, so
     that the driver gets them once, however many tasks there are.
     """
     shared = docs.sparkSession.sparkContext.broadcast((contexts, start))
@@ -373,9 +375,11 @@ def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "te
         if len(rest):
             learn(rest)
             seen += len(rest)
-        for again in range(LEAST_STEPS - adam.step if kept else 0):
+        again, learned = 0, seen
+        while kept and adam.step < LEAST_STEPS and learned < ENOUGH:
             rows = kept[again % len(kept)].astype(np.int64)
             adam.learn(rows[:, :PLACES], rows[:, PLACES])
+            again, learned = again + 1, learned + len(rows)
         for block, weights in enumerate(np.array_split(adam.net.flat(), BLOCKS) if seen else ()):
             yield pa.RecordBatch.from_pylist([{"block": block, "n": seen, "w": weights.tobytes()}], schema=pa.schema([("block", pa.int32()), ("n", pa.int64()), ("w", pa.binary())]))
 

@@ -130,6 +130,18 @@ def test_pairs_across_labels(monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_copies_in_other_case_or_space(spark):
+    """Copies in capitals or with other white space are near copies in every alphabet, not in ASCII alone."""
+    rng, rows = np.random.default_rng(10), []
+    for i, letters in enumerate(("été élève naïve où", "größe über schön straßen", "año señal ímpetu ñandú", "мир слово дорога")):
+        own = letters.split()
+        words = [f"{rng.choice(own)}{n}" for n in rng.integers(0, 50, 60)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words).upper().replace("SS", "ß")), (10 * i + 2, "\u00a0".join(words)), (10 * i + 3, "\u2003 ".join(words) + "\u3000")]
+    rows += [(90, ""), (91, "\u00a0"), (92, "\u3000\u2028")]
+    label = groups_of([t for _, t in rows])
+    assert kept_ids(spark, rows) == [rows[i][0] for i, x in enumerate(label) if i == x] == [0, 10, 20, 30, 90]
+
+
 def test_crowd_around_one_text(spark):
     """Hundreds of variants, alike to their base but not to each other, hang together through it."""
     rng = np.random.default_rng(2)

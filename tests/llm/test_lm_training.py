@@ -109,3 +109,21 @@ def test_gradient_of_the_whole_network():
                 sides.append(-net.score(windows, masked).mean())
                 part.ravel()[at] -= step
             assert abs((sides[0] - sides[1]) / 2e-4 - 10 * first.ravel()[at]) < 1e-4
+
+
+def test_words_are_read_twice_at_most_for_training(spark):
+    """Once to find the frequent ones and once to write all as context symbols, which the training reads."""
+    rng, reads = random.Random(13), spark.sparkContext.accumulator(0)
+    rows = [(i, chain(rng, 60) + f" Größe{i} un\u00e9{i}\u2003x{i % 7}longer") for i in range(90)] + [(90, None), (91, ""), (92, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def read(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    contexts, _, totals = lm_score.fit(docs.mapInArrow(read, docs.schema))
+    assert 0 < reads.value <= 2 * len(rows)
+    counts = lm_score.window_counts(docs, contexts.symbols)
+    assert np.array_equal(lm_score.coded_window_counts(lm_score.coded(docs, contexts), contexts), counts)
+    assert np.array_equal(totals, counts.sum((0, 1)))

@@ -19,8 +19,9 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import shuffle_width
+from textloom.llm._common import cut, release, shuffle_width
 
 EDGE, FREQUENT, HASHED = 1, 95, 32
 SYMBOLS = EDGE + FREQUENT + HASHED
@@ -57,26 +58,31 @@ class Symbols:
         self.known = {w: EDGE + i for i, w in enumerate(self.frequent)}
 
     def cache(self) -> _Cache:
-        return _Cache(self.known)
+        return _Cache(self.known, HASHED, EDGE + FREQUENT)
 
 
 class _Cache(dict):
-    """word -> symbol; goes back to the frequent words when full, which costs time and changes nothing."""
+    """word -> symbol, hashed by its ending where it is not known; goes back to the frequent words when full, which costs time and changes nothing."""
 
-    def __init__(self, known: dict[str, int]) -> None:
+    def __init__(self, known: dict[str, int], hashed: int, least: int) -> None:
         super().__init__(known)
-        self.first = known
+        self.first, self.hashed, self.least = known, hashed, least
 
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
             self.update(self.first)
-        self[word] = symbol = EDGE + FREQUENT + _ending(word) % HASHED
+        self[word] = symbol = self.least + _ending(word) % self.hashed
         return symbol
 
 
+@lru_cache(100_000)
+def _crc(tail: str) -> int:
+    return zlib.crc32(tail.lower().encode("utf-8", "replace"))
+
+
 def _ending(word: str) -> int:
-    return zlib.crc32((word[-2:].lower() + ("+" if len(word) > 8 else "")).encode("utf-8", "replace"))
+    return _crc(word[-2:] + "+" if len(word) > 8 else word[-2:])
 
 
 @dataclass
@@ -93,6 +99,9 @@ class Contexts:
         found = self.known.get(word)
         return EDGE + CONTEXT_WORDS + _ending(word) % CONTEXT_HASHED if found is None else found
 
+    def cache(self) -> _Cache:
+        return _Cache(self.known, CONTEXT_HASHED, EDGE + CONTEXT_WORDS)
+
     def classes(self) -> np.ndarray:
         """The class of each context symbol."""
         out = np.zeros(CONTEXTS, np.int64)
@@ -124,25 +133,57 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = FREQUENT
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def _codes(text: str | None, cache: dict) -> np.ndarray:
+def _codes(text: str | None, cache: dict, kind: type = np.int64) -> np.ndarray:
     """A text's symbols with the edge symbol at either end."""
     words = (text or "").split()
-    out = np.zeros(len(words) + 2, np.int64)
-    out[1:-1] = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    out = np.zeros(len(words) + 2, kind)
+    out[1:-1] = np.fromiter(map(cache.__getitem__, words), kind, len(words))
     return out
 
 
+def coded(docs: DataFrame, contexts: Contexts, text_col: str = "text") -> DataFrame:
+    """(codes): each text's context symbols between two edges, two bytes a symbol, in the order and partitions of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = contexts.cache()
+        for batch in batches:
+            rows = [_codes(t, cache, np.int16).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["codes"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "codes binary")
+
+
+def _laid(rows: list[bytes]) -> np.ndarray:
+    """Rows of coded(), end to end."""
+    return np.frombuffer(b"".join(rows), np.int16)
+
+
 def window_counts(docs: DataFrame, symbols: Symbols, text_col: str = "text") -> np.ndarray:
     """Counts [left, right, masked] over every word of every document; SYMBOLS cubed cells, whatever the corpus."""
 
+    def classes() -> Callable[[list], np.ndarray]:
+        cache = symbols.cache()
+        return lambda texts: np.concatenate([_codes(t, cache) for t in texts])
+
+    return _window_counts(docs.select(F.col(text_col).cast("string").alias("text")), classes)
+
+
+def coded_window_counts(rows: DataFrame, contexts: Contexts) -> np.ndarray:
+    """window_counts() of the documents of coded()."""
+    own = contexts.classes()
+    return _window_counts(rows, lambda: lambda codes: own[_laid(codes)])
+
+
+def _window_counts(docs: DataFrame, classes: Callable[[], Callable[[list], np.ndarray]]) -> np.ndarray:
+    """docs(one column); classes() makes what lays a task's values end to end as classes between edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = symbols.cache(), np.zeros(SYMBOLS**3, np.int64)
+        lay, total = classes(), np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 2048):
-                codes = [_codes(t, cache) for t in texts[i : i + 2048]]
-                # Texts are laid end to end; windows whose middle is an edge are no word's.
-                flat = np.concatenate(codes)
+            values = batch.column(0).to_pylist()
+            for i in range(0, len(values), 2048):
+                # Windows whose middle is an edge are no word's.
+                flat = lay(values[i : i + 2048])
                 cell = (flat[:-2] * SYMBOLS + flat[2:]) * SYMBOLS + flat[1:-1]
                 total += np.bincount(cell[flat[1:-1] > 0], minlength=SYMBOLS**3)
         blocks = total.reshape(SYMBOLS, -1)
@@ -161,7 +202,7 @@ def window_counts(docs: DataFrame, symbols: Symbols, text_col: str = "text") ->
         for left, block in sums.items():
             yield pd.DataFrame({"left": [left], "n": [block.tobytes()]})
 
-    gathered = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "left int, at binary, n binary")
+    gathered = docs.mapInArrow(run, "left int, at binary, n binary")
     # Any task may hold several blocks or part of one: sums are added up once more on the driver.
     counts = np.zeros((SYMBOLS, SYMBOLS * SYMBOLS), np.int64)
     for r in gathered.repartition("left").mapInPandas(add, "left int, n binary").toLocalIterator():
@@ -337,17 +378,17 @@ class _Adam:
             t -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
 
 
-def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "text", seed: int = 5) -> Wide:
-    """start, trained further on every document: by each task on its own, from the same start, then averaged.
+def refine(rows: DataFrame, contexts: Contexts, start: Wide, seed: int = 5) -> Wide:
+    """start, trained further on every document of coded(): by each task on its own, from the same start, then averaged.
 
     A task with few words goes over them again until it has made LEAST_STEPS steps or learned ENOUGH words. Weights are added up by blocks, so
     that the driver gets them once, however many tasks there are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((contexts, start))
+    shared = rows.sparkSession.sparkContext.broadcast((contexts.classes(), start))
 
     def train_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first = shared.value
-        words, rng = _Words(known.symbols, known), np.random.default_rng((seed, TaskContext.get().partitionId()))
+        classes, first = shared.value
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
         adam, held, seen, kept = _Adam(first.like(first.flat())), [], 0, []
 
         def learn(rows: np.ndarray) -> None:
@@ -356,15 +397,12 @@ def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "te
                 kept.append(rows.astype(np.int16))
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 1024):
-                flat = np.concatenate([x for t in texts[i : i + 1024] for x in (_NONE, np.fromiter(map(words.__getitem__, (t or "").split()), np.int64), _NONE)])
-                context, masked = np.array(words.context), np.array(words.symbol)[flat][1:-1]
-                chosen = np.flatnonzero((masked > 0) & (rng.random(masked.size) < MASKED))
+            codes = batch.column(0).to_pylist()
+            for i in range(0, len(codes), 1024):
+                flat = _laid(codes[i : i + 1024])
+                chosen = np.flatnonzero((flat[1:-1] > 0) & (rng.random(flat.size - 2) < MASKED))
                 if chosen.size:
-                    held.append(np.column_stack((_windows(context[flat], chosen), masked[chosen])))
-                if len(words.symbol) > 400_000:
-                    words.forget()
+                    held.append(np.column_stack((_windows(flat, chosen), classes[flat[chosen + 1]])))
                 if sum(map(len, held)) >= BATCH:
                     rows = np.concatenate(held)
                     for at in range(0, len(rows) - BATCH + 1, BATCH):
@@ -392,7 +430,7 @@ def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "te
         for block, (n, w) in sums.items():
             yield pd.DataFrame({"block": [block], "n": [n], "w": [w.tobytes()]})
 
-    trained = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(train_own, "block int, n long, w binary")
+    trained = rows.mapInArrow(train_own, "block int, n long, w binary")
     sums: dict[int, list] = {}
     for r in trained.repartition("block").mapInPandas(add, "block int, n long, w binary").toLocalIterator():
         own = sums.setdefault(r["block"], [0, 0.0])
@@ -404,23 +442,22 @@ def refine(docs: DataFrame, contexts: Contexts, start: Wide, text_col: str = "te
 
 
 class _Words(dict):
-    """word -> number within a task, with the class, context symbol and hash of each number; number 0 is the edge."""
+    """word -> number within a task, with the context symbol and hash of each number; number 0 is the edge."""
 
-    def __init__(self, symbols: Symbols, contexts: Contexts) -> None:
+    def __init__(self, contexts: Contexts) -> None:
         super().__init__()
-        self.cache, self.contexts = symbols.cache(), contexts
-        self.symbol, self.context, self.hash = array("i", [0]), array("i", [0]), array("Q", [0])
+        self.contexts = contexts
+        self.context, self.hash = array("i", [0]), array("Q", [0])
 
     def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.symbol)
-        self.symbol.append(self.cache[word])
+        self[word] = number = len(self.context)
         self.context.append(self.contexts.of(word))
         self.hash.append(xxhash.xxh64_intdigest(word.encode("utf-8", "replace")))
         return number
 
     def forget(self) -> None:
         self.clear()
-        del self.symbol[1:], self.context[1:], self.hash[1:]
+        del self.context[1:], self.hash[1:]
 
 
 _NONE = np.zeros(1, np.int64)
@@ -441,22 +478,23 @@ def score_words(docs: DataFrame, contexts: Contexts, network: Wide, totals: np.n
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net, log_totals = shared.value
-        own, chunk = _Words(known.symbols, known), TaskContext.get().partitionId() << 32
+        own, classes, chunk = _Words(known), known.classes(), TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
             flat = np.concatenate([x for t in texts for x in (_NONE, t, _NONE)])
-            symbol, word_hash = np.array(own.symbol)[flat], np.array(own.hash)
-            doc, number, middle = np.repeat(np.arange(len(texts)), sizes + 2)[1:-1], flat[1:-1], symbol[1:-1]
+            context, word_hash = np.array(own.context)[flat], np.array(own.hash)
+            doc, number, middle = np.repeat(np.arange(len(texts)), sizes + 2)[1:-1], flat[1:-1], classes[context[1:-1]]
             gain, words_at = np.zeros(len(middle)), np.flatnonzero(middle)
-            gain[words_at] = net.score(_windows(np.array(own.context)[flat], words_at), middle[words_at])
+            gain[words_at] = net.score(_windows(context, words_at), middle[words_at])
             shares = middle >= EDGE + FREQUENT
             gain[shares] -= log_totals[middle[shares]]
             base = np.bincount(doc, gain, len(texts))
-            pair, n = np.unique(doc[shares] * len(own.symbol) + number[shares], return_counts=True)
-            at, words = pair // len(own.symbol), word_hash[pair % len(own.symbol)]
-            route = (words % np.uint64(width)).astype(np.int64)
+            pair, n = np.unique(doc[shares] * len(own.context) + number[shares], return_counts=True)
+            at, words = pair // len(own.context), word_hash[pair % len(own.context)]
+            # Two bytes are sorted by radix.
+            route = (words % np.uint64(width)).astype(np.uint16 if width <= 1 << 16 else np.int64)
             order = np.argsort(route, kind="stable")
             used, starts = np.unique(route[order], return_index=True)
             cuts = [np.split(x[order], starts[1:]) if used.size else [] for x in (at.astype(np.int32), words, n.astype(np.int32))]
@@ -528,11 +566,13 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Contexts, Wide, np.nda
     """(words' symbols, network, words by class) of docs."""
     frequent = frequent_words(docs, text_col, CONTEXT_WORDS)
     contexts = Contexts(frequent, Symbols(frequent[:FREQUENT]))
-    counts = window_counts(docs, contexts.symbols, text_col)
-    return contexts, refine(docs, contexts, Wide.start(train(counts), contexts), text_col), counts.sum((0, 1))
+    rows = cut(coded(docs, contexts, text_col))  # training reads words once, then two bytes for each
+    counts = coded_window_counts(rows, contexts)
+    return contexts, refine(rows, contexts, Wide.start(train(counts), contexts)), counts.sum((0, 1))
 
 
 def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count, train and score on the same documents."""
     contexts, network, totals = fit(docs, text_col)
+    release(docs.sparkSession)
     return score_words(docs, contexts, network, totals, id_col, text_col)
